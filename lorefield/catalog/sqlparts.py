@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lorefield.functions.text import NAME_EDGE_CHARS, WS_CHARS
-from lorefield.operators.extract import SHAPE_PATTERN, SHAPES
+from lorefield.operators.extract import SHAPES
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NON_WS = r"[^\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -85,7 +85,9 @@ def _score(x: str) -> str:
 
 def extraction(chunk_source: str = "chunks") -> str:
     """CTEs `ents` and `rels` from `chunks`, with the caps of one chunk."""
-    tile = SHAPE_PATTERN + r"|[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+    # Dates and names can span several words; every other shape is a whole word, so words are cut first and tested after.
+    spanning = "|".join(shape for name, shape, _ in SHAPES if name in ("date", "person"))
+    tile = spanning + r"|[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
     key = "doc_id, chunk_index"
     return f"""
 {sentences(chunk_source, key, 'content').lstrip()},
@@ -97,10 +99,10 @@ laid AS (
   SELECT {key}, tpos, tile, {_label('tile')} AS label,
          CAST(sum(length(tile)) OVER (PARTITION BY {key} ORDER BY tpos) AS INTEGER) AS e
   FROM tiles),
-found AS (
+found AS MATERIALIZED (
   SELECT {key}, tpos, e - CAST(length(tile) AS INTEGER) AS s, e, {clean_name('tile')} AS name, label, {_score('label')} AS score
   FROM laid WHERE label IS NOT NULL AND label <> 'other'),
-ment AS (
+ment AS MATERIALIZED (
   SELECT f.*, {fold('f.name')} AS key, t.si, t.body
   FROM found f ASOF JOIN sents t ON f.doc_id = t.doc_id AND f.chunk_index = t.chunk_index AND f.s >= t.s
   WHERE f.name <> '' AND f.score >= 0.4),

@@ -127,10 +127,31 @@ def graph_hits(query_entities: DataFrame, edges: DataFrame, mentions: DataFrame)
 
     `query_entities`: (query_id, key). Counting combines before the shuffle, so common entities stay cheap.
     """
+    wanted, _ = query_neighborhood(query_entities, edges)
+    links = mentions.select("key", "chunk_id").distinct()
+    return links.join(wanted, "key").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"))
+
+
+def query_neighborhood(query_entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, edges) around the query entities: each entity and its 1-hop neighbours, and the edges that lead there."""
     seeds = query_entities.select("query_id", "key").distinct()
-    out = seeds.join(edges.select(F.col("src").alias("key"), F.col("dst").alias("near")), "key").select("query_id", F.col("near").alias("key"))
-    back = seeds.join(edges.select(F.col("dst").alias("key"), F.col("src").alias("near")), "key").select("query_id", F.col("near").alias("key"))
-    wanted = seeds.unionByName(out).unionByName(back).distinct()
+    out = seeds.join(edges.withColumn("key", F.col("src")), "key")
+    back = seeds.join(edges.withColumn("key", F.col("dst")), "key")
+    touching = out.drop("key").unionByName(back.drop("key")).dropDuplicates(["query_id", "src", "dst"])
+    ends = touching.select("query_id", F.explode(F.array("src", "dst")).alias("key"))
+    return seeds.unionByName(ends).distinct(), touching
+
+
+def knowledge_within_budget(ranked: DataFrame, budget: int, text: str, order: list, query_id: str = "query_id") -> DataFrame:
+    """Leading knowledge rows of every query within the budget; each row also costs one token for its line break.
+
+    At most `budget` rows can fit, so rows ranked beyond that are dropped before the running sum without changing it.
+    """
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(*order))
+    possible = ranked.withColumn("place", place).where(F.col("place") <= budget)
+    upto = Window.partitionBy(query_id).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        mentions.select("key", "chunk_id").distinct().join(wanted, "key").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"))
+        possible.withColumn("tokens", count_tokens(F.col(text)) + 1)
+        .withColumn("tokens_used", F.sum("tokens").over(upto))
+        .where(F.col("tokens_used") <= budget)
     )
