@@ -122,11 +122,18 @@ def conversation_rerank(spark, base):
     return ranked.select("query_id", "index", F.round("relevance_score", 6).alias("relevance_score"), "rerank")
 
 
+_CELL = "md5(CAST(label AS VARCHAR) || '/' || CAST(CAST(floor(e[1] * 10) AS INTEGER) AS VARCHAR))"
+
+
 @query(
-    f"""WITH {_VEC}, stored AS (SELECT vec_id FROM v WHERE label IN (SELECT label FROM v WHERE vec_id < 5))
-SELECT vec_id, label FROM v WHERE md5(CAST(label AS VARCHAR)) NOT IN (SELECT md5(CAST(label AS VARCHAR)) FROM v JOIN stored USING (vec_id))"""
+    f"""WITH {_VEC}, h AS (SELECT vec_id, label, {_CELL} AS content_hash FROM v),
+stored AS (SELECT content_hash FROM h WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT vec_id, label, content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM stored)"""
 )
-def vector_hash_skip(spark, base):
-    vecs = _embeddings(spark, base).withColumn("content_hash", F.md5(F.col("label").cast("string")))
-    stored = vecs.where("vec_id < 5")
-    return ve.add_chunks(vecs, stored).select("vec_id", "label")
+def vector_new_chunks(spark, base):
+    """Vectors whose hash is not stored yet; those of toxic documents count as stored."""
+    first = F.floor(F.element_at("embedding", 1).cast("double") * 10).cast("int").cast("string")
+    vecs = _embeddings(spark, base).withColumn("content_hash", F.md5(F.concat_ws("/", F.col("label").cast("string"), first)))
+    toxic = table(spark, base, "labels", "doc_id", "toxic").where("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    stored = vecs.join(toxic, "vec_id", "left_semi")
+    return ve.add_chunks(vecs, stored).select("vec_id", "label", "content_hash")
