@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorefield.catalog import inputs as src
 from lorefield.catalog.sqlparts import NON_WS, SENTENCE, WS, chunk_id, lit, norm, sentences, strip, token_chunks, unique_docs, words
+from lorefield.functions.arrays import explode_rows
 from lorefield.functions import sentences as st
 from lorefield.functions import text as tx
 from lorefield.operators import chunks as ch
@@ -36,7 +37,7 @@ def query(sql: str | None = None):
         CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents"""
 )
 def doc_content_hash(spark, base):
-    return src.documents(spark, base).select(
+    return spread_small_input(src.documents(spark, base)).select(
         "doc_id",
         tx.content_hash(F.col("text")).alias("content_hash"),
         F.sha2(F.col("text"), 256).alias("raw_sha256"),
@@ -50,7 +51,7 @@ def doc_content_hash(spark, base):
         FROM documents"""
 )
 def doc_clean_text(spark, base):
-    return src.documents(spark, base).select("doc_id", tx.clean_text(F.col("text")).alias("clean_text"))
+    return spread_small_input(src.documents(spark, base)).select("doc_id", tx.clean_text(F.col("text")).alias("clean_text"))
 
 
 @query(
@@ -59,7 +60,7 @@ def doc_clean_text(spark, base):
         FROM (SELECT doc_id, text, {words('text')} AS w FROM documents)"""
 )
 def doc_snippet(spark, base):
-    return src.documents(spark, base).select(
+    return spread_small_input(src.documents(spark, base)).select(
         "doc_id", tx.word_count(F.col("text")).alias("word_count"), tx.snippet(F.col("text")).alias("snippet")
     )
 
@@ -87,7 +88,7 @@ def doc_token_estimates(spark, base):
         'doc-' || substr(sha256({norm('text')}), 1, 32) AS stable_id FROM documents"""
 )
 def doc_display_names(spark, base):
-    docs = src.documents(spark, base, "doc_id", "text", "source", "lang")
+    docs = spread_small_input(src.documents(spark, base, "doc_id", "text", "source", "lang"))
     title = F.when(F.col("lang") == "en", "  ").otherwise(F.col("source"))
     return docs.select(
         "doc_id",
@@ -271,7 +272,7 @@ def doc_source_inventory(spark, base):
 @query(f"WITH {sentences('documents', 'doc_id', 'text')} SELECT doc_id, si, s, e FROM sents")
 def sentence_spans(spark, base):
     docs = spread_small_input(src.documents(spark, base))
-    spans = docs.select("doc_id", F.posexplode(st.sentence_spans(F.col("text"))).alias("si", "p"))
+    spans = explode_rows(docs, st.sentence_spans(F.col("text")), "doc_id", pos="si", item="p")
     return spans.select("doc_id", (F.col("si") + 1).alias("si"), F.col("p.s").alias("s"), F.col("p.e").alias("e"))
 
 
@@ -287,7 +288,7 @@ FROM walk w JOIN documents d USING (doc_id) GROUP BY w.doc_id, w.start, d.text""
 )
 def sentence_windows(spark, base):
     docs = spread_small_input(src.documents(spark, base))
-    wins = docs.select("doc_id", F.explode(st.windows(F.col("text"), st.sentence_spans(F.col("text")))).alias("w"))
+    wins = explode_rows(docs, st.windows(F.col("text"), st.sentence_spans(F.col("text"))), "doc_id", item="w")
     return wins.select("doc_id", F.col("w.start").alias("start"), F.col("w.text").alias("window_text"))
 
 
@@ -311,7 +312,7 @@ FROM spans p JOIN sents t ON t.doc_id = p.doc_id AND t.si BETWEEN p.a AND p.b GR
 )
 def sentence_packed_chunks(spark, base):
     docs = spread_small_input(src.documents(spark, base))
-    return docs.select("doc_id", F.posexplode(st.packed_chunks(F.col("text"))).alias("chunk_index", "content"))
+    return explode_rows(docs, st.packed_chunks(F.col("text")), "doc_id", pos="chunk_index", item="content")
 
 
 @query(

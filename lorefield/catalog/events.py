@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorefield.catalog.sqlparts import norm, strip
 from lorefield.functions import text as tx
-from lorefield.session import apply_semantics, table
+from lorefield.session import apply_semantics, shared_folder, table
 from lorefield.streaming import ingest as si
 from lorefield.streaming import pacing as pa
 
@@ -172,7 +172,7 @@ def stream_ingest_dedup(spark, base):
     schema = spark.read.parquet(f"{base}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", "64").parquet(base)
     arrived = stream.select("doc_id", "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived_at"))
-    folder = si.scratch_folder(spark, "ingest")
+    folder = shared_folder(spark, "ingest")
     rows = si.run_to_end(si.hashed_stream(arrived).select("doc_id", "content_hash"), f"{folder}/table", f"{folder}/progress")
     return rows.select("content_hash")
 
@@ -192,5 +192,5 @@ def stream_token_bucket(spark, base):
         F.round(F.col("value") * 600).cast("long").alias("tokens"),
         F.lit(0).alias("new_limit"),
     )
-    folder = si.scratch_folder(spark, "bucket")
+    folder = shared_folder(spark, "bucket")
     return si.drain(pa.stream_bucket(requests, 6000), f"{folder}/table", f"{folder}/progress")

@@ -33,7 +33,7 @@ FILE_NAME_SQL = (
 
 def incoming(spark: SparkSession, base: str) -> DataFrame:
     """Every document as an upload, in doc_id order."""
-    docs = documents(spark, base, "doc_id", "text", "lang", "source")
+    docs = spread_small_input(documents(spark, base, "doc_id", "text", "lang", "source"))
     return docs.select(
         F.col("doc_id").alias("seq"), file_name().alias("file_name"), mf.source_type_of(file_name()).alias("source_type"), "text"
     )
@@ -94,10 +94,11 @@ def doc_status(spark: SparkSession, base: str) -> DataFrame:
 
 
 def unique_documents(spark: SparkSession, base: str) -> DataFrame:
-    """First document of every content hash, texts included."""
-    docs = documents(spark, base).withColumn("content_hash", content_hash(py_strip(F.col("text"))))
-    firsts = docs.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return spread_small_input(documents(spark, base)).join(firsts, "doc_id", "left_semi")
+    """First document of every content hash, texts included. Only ids and hashes are aggregated."""
+    docs = spread_small_input(documents(spark, base))
+    hashed = docs.select("doc_id", content_hash(py_strip(F.col("text"))).alias("content_hash"))
+    firsts = hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return docs.join(firsts, "doc_id", "left_semi")
 
 
 def chunk_rows(spark: SparkSession, base: str) -> DataFrame:

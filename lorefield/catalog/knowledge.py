@@ -60,7 +60,8 @@ edges AS (
 
 @query(f"{text_graph()},{_ENTITIES} SELECT key, name, entity_type, mentions, description FROM merged")
 def kg_entities(spark, base):
-    return gr.merge_mentions(src.mention_rows(spark, base))
+    # Read twice by the merge, so the extraction is made durable once.
+    return gr.merge_mentions(checkpointed(src.mention_rows(spark, base)))
 
 
 @query(f"{text_graph()},{_EDGES} SELECT src, dst, weight, keywords, description FROM edges")
@@ -123,11 +124,13 @@ SELECT k.id, m.entity_type, m.description, k.full_degree, i.degree, round(1.5 +
 FROM kept k JOIN ideg i USING (id) JOIN merged m ON m.key = k.id"""
 )
 def kg_graph_view(spark, base):
-    edges = checkpointed(gr.merge_pairs(src.pair_rows(spark, base)).select("src", "dst"))
-    nodes, _, flag = gr.top_subgraph(edges)
+    records = checkpointed(src.chunk_records(spark, base).select("doc_id", "chunk_index", "chunk_id", "entities", "relationships"))
+    mentions, edges = _graph_of(records)
+    nodes, _, flag = gr.top_subgraph(checkpointed(edges.select("src", "dst")))
     # At most 1000 nodes come out of the cut, so they are the broadcast side of the property lookup.
-    entities = gr.merge_mentions(src.mention_rows(spark, base).join(F.broadcast(nodes.select(F.col("id").alias("key"))), "key", "left_semi"))
-    joined = nodes.join(entities.select(F.col("key").alias("id"), "entity_type", "description"), "id").join(F.broadcast(flag))
+    shown = checkpointed(nodes)
+    entities = gr.merge_mentions(mentions.join(F.broadcast(shown.select(F.col("id").alias("key"))), "key", "left_semi"))
+    joined = shown.join(entities.select(F.col("key").alias("id"), "entity_type", "description"), "id").join(F.broadcast(flag))
     return joined.select(
         "id", "entity_type", "description", "full_degree", "degree", F.round(gr.node_size(F.col("degree")), 6).alias("size"), "is_truncated"
     )

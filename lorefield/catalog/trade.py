@@ -8,7 +8,7 @@ from lorefield.catalog import inputs as src
 from lorefield.catalog.sqlparts import TRADE
 from lorefield.functions import text as tx
 from lorefield.operators import graph as gr
-from lorefield.session import table
+from lorefield.session import checkpointed, table
 
 QUERIES = {}
 ORACLES = {}
@@ -46,7 +46,7 @@ ideg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM inside UNION
 SELECT k.id, k.degree AS full_degree, i.degree, (SELECT count(*) FROM deg) > 300 AS is_truncated FROM kept k JOIN ideg i USING (id)"""
 )
 def trade_top_subgraph(spark, base):
-    nodes, _, flag = gr.top_subgraph(src.trade_edges(spark, base))
+    nodes, _, flag = gr.top_subgraph(checkpointed(src.trade_edges(spark, base)))
     return nodes.join(F.broadcast(flag))
 
 
@@ -57,7 +57,7 @@ SELECT src, dst, relation, weight, least(coalesce(nullif(weight, 0), 1), 4) AS w
 WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)"""
 )
 def trade_top_subgraph_edges(spark, base):
-    _, edges, _ = gr.top_subgraph(src.trade_edges(spark, base))
+    _, edges, _ = gr.top_subgraph(checkpointed(src.trade_edges(spark, base)))
     return edges.withColumn("width", gr.link_width(F.col("weight")))
 
 
@@ -75,7 +75,7 @@ ideg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM inside UNION
 SELECT k.id, k.degree AS full_degree, i.degree, (SELECT count(*) FROM cand) > 100 AS is_truncated FROM kept k JOIN ideg i USING (id)"""
 )
 def trade_centered_subgraph(spark, base):
-    nodes, _, flag = gr.top_subgraph(src.trade_edges(spark, base), "region:1", max_depth=2, max_nodes=100)
+    nodes, _, flag = gr.top_subgraph(checkpointed(src.trade_edges(spark, base)), "region:1", max_depth=2, max_nodes=100)
     return nodes.join(F.broadcast(flag))
 
 
@@ -86,7 +86,7 @@ h2 AS (SELECT DISTINCT dst AS id FROM both_ways WHERE src IN (SELECT id FROM h1)
 SELECT id, CAST(1 AS INTEGER) AS hop FROM h1 UNION ALL SELECT id, CAST(2 AS INTEGER) FROM h2"""
 )
 def trade_neighbors_2hop(spark, base):
-    nodes, _ = gr.neighbors(src.trade_edges(spark, base), "nation:7", hops=2)
+    nodes, _ = gr.neighbors(checkpointed(src.trade_edges(spark, base)), "nation:7", hops=2)
     return nodes
 
 
@@ -96,7 +96,7 @@ ex AS (SELECT 'nation:7' AS id UNION SELECT dst FROM both_ways WHERE src = 'nati
 SELECT DISTINCT src, dst, relation, weight FROM trade WHERE src IN (SELECT id FROM ex) OR dst IN (SELECT id FROM ex)"""
 )
 def trade_neighbor_edges(spark, base):
-    _, edges = gr.neighbors(src.trade_edges(spark, base), "nation:7", hops=2)
+    _, edges = gr.neighbors(checkpointed(src.trade_edges(spark, base)), "nation:7", hops=2)
     return edges
 
 

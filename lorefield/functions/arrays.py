@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Appending to an accumulator array copies it. Folding in blocks keeps the copies short,
@@ -62,6 +62,16 @@ def offsets(pieces: Column) -> Column:
     return scan(pieces, F.lit(0), "int", lambda at, piece: (at, at + F.length(piece)))
 
 
+def explode_rows(df: DataFrame, array: Column, *keep: str, pos: str = "pos", item: str = "item") -> DataFrame:
+    """(keep, pos, item) per element; `pos` counts from 0.
+
+    A plain explode makes the optimizer test the array for elements first, which would compute a costly array twice;
+    the outer form with a test on its output computes it once.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    return rows.where(F.col(pos).isNotNull())
+
+
 def set_union(left: Column, right: Column) -> Column:
     empty = F.expr("cast(array() as array<string>)")
     return F.array_sort(F.array_union(F.coalesce(left, empty), F.coalesce(right, empty)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorefield.functions.arrays import let
+from lorefield.functions.arrays import explode_rows, let
 from lorefield.functions.text import NON_WS, WS, content_hash, count_tokens, py_strip
 
 # --- fixed values ---
@@ -51,7 +51,7 @@ def chunk_by_tokens(
 ) -> DataFrame:
     """One row per chunk: (doc_id, chunk_index, chunk_id, content, token_count). Narrow: no shuffle."""
     parts = token_windows(token_pieces(py_strip(F.col(text))), size, overlap)
-    exploded = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(parts).alias("chunk_index", "w"))
+    exploded = explode_rows(docs, parts, doc_id, pos="chunk_index", item="w").withColumnRenamed(doc_id, "doc_id")
     return exploded.select(
         "doc_id",
         "chunk_index",
@@ -141,7 +141,8 @@ def cascade_chunks_udf(
 
 def chunk_by_cascade(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     split = cascade_chunks_udf(**options)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(split(F.col(text))).alias("chunk_index", "content"))
+    split_docs = docs.select(F.col(doc_id).alias("doc_id"), split(F.col(text)).alias("parts"))
+    rows = explode_rows(split_docs, F.col("parts"), "doc_id", pos="chunk_index", item="content")
     return with_chunk_facts(rows.withColumn("token_count", count_tokens(F.col("content"))))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorefield.functions.arrays import let, let_all, scan
+from lorefield.functions.arrays import explode_rows, let, let_all, scan
 from lorefield.functions.sentences import sentence_spans, windows
 from lorefield.functions.text import (
     MAX_DESCRIPTION_CHARS,
@@ -295,11 +295,11 @@ def window_list_predictor(predict: Callable[[list[str]], list[list[dict]]]) -> P
 
 def entity_rows(records: DataFrame, *keys: str) -> DataFrame:
     """One row per extracted entity with its position in the chunk."""
-    return records.select(*keys, F.posexplode("entities").alias("pos", "r")).select(*keys, "pos", "r.*")
+    return explode_rows(records, F.col("entities"), *keys, item="r").select(*keys, "pos", "r.*")
 
 
 def relationship_rows(records: DataFrame, *keys: str) -> DataFrame:
-    return records.select(*keys, F.posexplode("relationships").alias("pos", "r")).select(*keys, "pos", "r.*")
+    return explode_rows(records, F.col("relationships"), *keys, item="r").select(*keys, "pos", "r.*")
 
 
 def records_json(entities: Column, relationships: Column) -> Column:

@@ -178,16 +178,25 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(id, hop) of all nodes within `hops` steps in either direction, the start nodes at 0."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    reached = start.select("id", F.lit(0).alias("hop")).distinct()
-    for hop in range(1, hops + 1):
-        frontier = reached.where(F.col("hop") == hop - 1).select(F.col("id").alias("src"))
-        step = both.join(frontier, "src").select(F.col("dst").alias("id")).distinct()
-        fresh = step.join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
-        reached = reached.unionByName(fresh)
-        if hop % 2 == 0 and hop < hops:
-            reached = checkpointed(reached)
+    """(id, hop) of all nodes within `hops` steps in either direction, the start nodes at 0.
+
+    Every frontier is made durable, so each hop reads the edges once and the plan does not grow with the hops.
+    `edges` should be a stored table.
+    """
+    pairs = edges.select("src", "dst")
+    levels = [start.select("id").distinct()]
+    for _ in range(hops):
+        frontier = levels[-1]
+        forward = pairs.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+        backward = pairs.join(frontier.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+        fresh = forward.unionByName(backward).distinct()
+        # In an undirected walk only the last two levels can be met again.
+        for seen in levels[-2:]:
+            fresh = fresh.join(seen, "id", "left_anti")
+        levels.append(checkpointed(fresh))
+    reached = levels[0].withColumn("hop", F.lit(0))
+    for hop, level in enumerate(levels[1:], start=1):
+        reached = reached.unionByName(level.withColumn("hop", F.lit(hop)))
     return reached
 
 
@@ -249,12 +258,12 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_length: int = 3
     work follows the number of answers and not the number of walks.
     """
     spark = edges.sparkSession
-    steps = edges.select("src", "dst").distinct()
+    steps = checkpointed(edges.select("src", "dst").distinct())
     reach = [spark.createDataFrame([(target,)], "dst string")]
     for _ in range(max_length - 1):
         nearer = reach[-1]
         back = steps.join(nearer, "dst", "left_semi").select(F.col("src").alias("dst"))
-        reach.append(back.unionByName(nearer).distinct())
+        reach.append(checkpointed(back.unionByName(nearer).distinct()))
     paths = spark.createDataFrame([([source], source)], "path array<string>, src string")
     found = None
     for length in range(1, max_length + 1):
@@ -264,6 +273,8 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_length: int = 3
             .where(~F.array_contains("path", F.col("dst")))
             .select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"))
         )
+        if length < max_length:
+            grown = checkpointed(grown)
         hits = grown.where(F.col("src") == target).select("path", F.lit(length).alias("length"))
         found = hits if found is None else found.unionByName(hits)
         paths = grown.where(F.col("src") != target)
@@ -280,10 +291,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"))
     both = checkpointed(both)
-    labels = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select(
-        "id", F.least("id", "m").alias("component")
-    )
-    labels = checkpointed(labels)
+    first = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
+    labels = checkpointed(first.select("id", F.least("id", "m").alias("component")))
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(
             F.min("component").alias("m")

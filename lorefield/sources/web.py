@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorefield.functions import urls, web
-from lorefield.functions.arrays import keep_truthy
+from lorefield.functions.arrays import keep_truthy, let
 from lorefield.functions.text import falsy, py_strip, word_count
 from lorefield.operators.skew import running
 
@@ -56,17 +56,17 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
 
 def article_rows(pages: DataFrame, markdown) -> DataFrame:
     """(url, title, body, source, source_type, error) from (url, html, source); `markdown` is the extraction function."""
-    staged = pages.withColumn("_md", markdown(F.col("html")))
     title, dek = web.page_title(F.col("html")), web.meta_content(F.col("html"), "og:description")
-    body = web.finish_article(F.col("_md"), title, dek)
+    staged = pages.withColumn("_md", markdown(F.col("html"))).withColumn("title", title)
+    staged = staged.withColumn("body", web.finish_article(F.col("_md"), F.col("title"), dek))
     missing = F.concat(F.lit("No article content extracted from: "), F.col("url"))
     return staged.select(
         "url",
-        title.alias("title"),
-        body.alias("body"),
+        "title",
+        "body",
         "source",
         web.source_type(F.col("source")).alias("source_type"),
-        F.when(F.coalesce(body, F.lit("")) == "", missing).alias("error"),
+        F.when(F.coalesce("body", F.lit("")) == "", missing).alias("error"),
     )
 
 
@@ -86,10 +86,12 @@ def _json_scalar(value: Column) -> Column:
 
 def cache_file(url: Column, metadata: list[tuple[str, Column]], body: Column, scraped_at: Column, source: Column) -> Column:
     """Whole text of a cache file: header between `---` lines, then the body."""
-    header = frontmatter(
-        [("url", url), *metadata, ("scraped_at", scraped_at), ("source", source), ("word_count", word_count(body).cast("string"))]
-    )
-    return F.concat(F.lit("---\n"), header, F.lit("---\n\n"), body, F.lit("\n"))
+    def build(text: Column) -> Column:
+        count = word_count(text).cast("string")
+        header = frontmatter([("url", url), *metadata, ("scraped_at", scraped_at), ("source", source), ("word_count", count)])
+        return F.concat(F.lit("---\n"), header, F.lit("---\n\n"), text, F.lit("\n"))
+
+    return let(body, build)
 
 
 def _yaml_map(text: str | None) -> dict[str, str]:
@@ -115,15 +117,17 @@ def _yaml_map(text: str | None) -> dict[str, str]:
 def yaml_map_udf():
     @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
     def run(headers: pd.Series) -> pd.Series:
-        return headers.map(_yaml_map)
+        return headers.map(lambda h: None if h is None else _yaml_map(h))
 
     return run
 
 
 def read_cache_files(files: DataFrame, value: str = "value") -> DataFrame:
     """Parse cache file texts; those without a complete header are dropped."""
-    parts = files.withColumn("_p", F.split(F.col(value), "---\n", CACHE_PARTS)).where(F.size("_p") == CACHE_PARTS)
-    parsed = parts.withColumn("_m", yaml_map_udf()(F.col("_p")[1]))
+    split = files.withColumn("_p", F.split(F.col(value), "---\n", CACHE_PARTS))
+    # Incomplete files get no header; testing the parsed header keeps the costly split out of a pushed-down filter.
+    header = F.when(F.size("_p") == CACHE_PARTS, F.col("_p")[1])
+    parsed = split.withColumn("_m", yaml_map_udf()(header)).where(F.col("_m").isNotNull())
     source = F.try_element_at("_m", F.lit("source"))
     return parsed.select(
         *[c for c in files.columns if c != value],

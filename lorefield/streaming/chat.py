@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorefield.functions.arrays import explode_rows
+
 # --- fixed values ---
 FRAME_PREFIX = "data: "
 FRAME_END = "\n\n"
@@ -50,9 +52,8 @@ def answer_events(answers: DataFrame, *keys: str) -> DataFrame:
         .when(broken, F.concat(F.array(first), tokens, F.array(error)))
         .otherwise(F.concat(F.array(first), tokens, F.array(done)))
     )
-    return answers.select(*keys, F.posexplode(events).alias("seq", "e")).select(
-        *keys, "seq", F.col("e.type").alias("type"), F.col("e.payload").alias("payload")
-    )
+    rows = explode_rows(answers, events, *keys, pos="seq", item="e")
+    return rows.select(*keys, "seq", F.col("e.type").alias("type"), F.col("e.payload").alias("payload"))
 
 
 def frames(events: DataFrame) -> DataFrame:
