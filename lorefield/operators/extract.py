@@ -7,6 +7,7 @@ extraction adds no shuffle to the plan. Only the merge across chunks (see `graph
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -244,31 +245,35 @@ def extract_records(
     Relationships are pairs of entities named in one sentence. Without a predictor the word shapes above are used
     and everything stays in the JVM; `threshold=None` trusts the predictor's own cut.
     """
-    text = F.col(content)
-
-    def whole(spans: Column, wins: Column, predicted: Column) -> Column:
-        return let(chunk_mentions(spans, wins, predicted, threshold), lambda ms: records(text, spans, ms))
-
     if predictor is None:
-        rec = let(
-            sentence_spans(text),
-            lambda spans: let(
-                windows(text, spans),
-                lambda wins: whole(spans, wins, F.transform(wins, lambda w: shape_mentions(w["text"]))),
-            ),
-        )
-        done = chunks.withColumn("_rec", rec)
+        done = chunks.withColumn("_rec", _shape_records(chunks.sparkSession.sparkContext.applicationId, content, threshold))
     else:
+        text = F.col(content)
         staged = chunks.withColumn("_spans", sentence_spans(text))
         staged = staged.withColumn("_windows", windows(text, F.col("_spans")))
         staged = staged.withColumn("_found", predictor(F.transform("_windows", lambda w: w["text"])))
-        rec = let_all([F.col("_spans"), F.col("_windows"), F.col("_found")], whole)
-        done = staged.withColumn("_rec", rec)
+        parts = [F.col("_spans"), F.col("_windows"), F.col("_found")]
+        done = staged.withColumn("_rec", let_all(parts, lambda *p: _records_from(text, threshold, *p)))
     return done.select(
         *chunks.columns, F.col("_rec.entities").alias("entities"), F.col("_rec.relationships").alias("relationships")
     )
 
 
+def _records_from(text: Column, threshold: float | None, spans: Column, wins: Column, predicted: Column) -> Column:
+    return let(chunk_mentions(spans, wins, predicted, threshold), lambda ms: records(text, spans, ms))
+
+
+@lru_cache(maxsize=8)
+def _shape_records(application: str, content: str, threshold: float | None) -> Column:
+    """The all-JVM expression; it is long, so it is put together once per application and column."""
+    text = F.col(content)
+
+    def from_windows(spans: Column, wins: Column) -> Column:
+        return _records_from(text, threshold, spans, wins, F.transform(wins, lambda w: shape_mentions(w["text"])))
+
+    return let(sentence_spans(text), lambda spans: let(windows(text, spans), lambda wins: from_windows(spans, wins)))
+
+
 def window_list_predictor(predict: Callable[[list[str]], list[list[dict]]]) -> Predictor:
     """Predictor for `extract_records`: one call per Arrow batch over the windows of all its chunks."""
 

@@ -6,7 +6,7 @@ combines on the map side, and unions of sources are kept as link rows instead of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorefield.functions.text import MAX_SUMMARY_CHARS, entity_key, falsy, relationship_key, truncate_summary
@@ -168,6 +168,11 @@ def upsert_chunks(existing: DataFrame, incoming: DataFrame, documents: DataFrame
     return merged, links.select(F.col("source_url").alias("url"), "chunk_id").distinct()
 
 
+def one_row(spark: SparkSession, **values: Column) -> DataFrame:
+    """A single row made in the plan itself, so that its size is known to the join planner."""
+    return spark.range(1).select(*[value.alias(name) for name, value in values.items()])
+
+
 # --- degrees and sub-graphs -------------------------------------------------------------------
 
 
@@ -215,7 +220,7 @@ def top_subgraph(
         raise ValueError("max_nodes must be in 1..1000 and max_depth in 1..10")
     ranked = degrees(edges)
     if label != "*":
-        start = edges.sparkSession.createDataFrame([(label,)], "id string")
+        start = one_row(edges.sparkSession, id=F.lit(label))
         ranked = ranked.join(within_hops(edges, start, max_depth).select("id"), "id", "left_semi")
     # One more than wanted tells whether the graph was cut, without counting it.
     top = ranked.orderBy(F.desc("degree"), "id").limit(max_nodes + 1)
@@ -242,7 +247,7 @@ def drop_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def neighbors(edges: DataFrame, name: str, hops: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes within `hops` of `name` (itself left out) and the distinct edges that touch an expanded node."""
-    start = edges.sparkSession.createDataFrame([(name.lower(),)], "id string")
+    start = one_row(edges.sparkSession, id=F.lit(name.lower()))
     reached = within_hops(edges, start, hops)
     expanded = reached.where(F.col("hop") < hops).select("id")
     touching = edges.join(expanded.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(
@@ -259,12 +264,12 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_length: int = 3
     """
     spark = edges.sparkSession
     steps = checkpointed(edges.select("src", "dst").distinct())
-    reach = [spark.createDataFrame([(target,)], "dst string")]
+    reach = [one_row(spark, dst=F.lit(target))]
     for _ in range(max_length - 1):
         nearer = reach[-1]
         back = steps.join(nearer, "dst", "left_semi").select(F.col("src").alias("dst"))
         reach.append(checkpointed(back.unionByName(nearer).distinct()))
-    paths = spark.createDataFrame([([source], source)], "path array<string>, src string")
+    paths = one_row(spark, path=F.array(F.lit(source)), src=F.lit(source))
     found = None
     for length in range(1, max_length + 1):
         allowed = steps.join(reach[max_length - length], "dst", "left_semi")
