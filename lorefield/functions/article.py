@@ -28,26 +28,37 @@ class _Reader(HTMLParser):
         self.roots: list[str] = []
         self.blocks: list[tuple[bool, str]] = []
         self.text: list[str] = []
+        self.open: list[tuple[str, int]] = []
         self.linked = 0
         self.in_link = 0
         self.prefix = ""
         self.row: list[str] | None = None
 
     def flush(self) -> None:
+        while self.open:
+            self.close_mark(self.open[-1][0])
         line = re.sub(r"\s+", " ", "".join(self.text)).strip()
-        # Emphasis opened but never filled leaves bare marks behind.
-        line = re.sub(r"(\*\*|\*|`)\s*\1(?!\w)", "", line).strip()
         if line and self.linked <= LINK_SHARE * len(line):
             self.blocks.append((bool(self.roots), f"{self.prefix}{line}"))
         self.text, self.linked, self.prefix = [], 0, ""
 
+    def close_mark(self, mark: str) -> None:
+        """Write the closing mark, or take the opening one back when nothing came between."""
+        opened, at = self.open.pop()
+        if opened != mark:
+            self.open.append((opened, at))
+        elif "".join(self.text[at + 1 :]).strip():
+            self.text.append(mark)
+        else:
+            self.text[at] = ""
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skip.append(tag)
         if self.skip:
             return
         if tag in ("td", "th") and self.row is not None:
-            self.text = []
+            self.text, self.open = [], []
         elif tag == "tr":
             self.flush()
             self.row = []
@@ -59,6 +70,7 @@ class _Reader(HTMLParser):
         elif tag == "a":
             self.in_link += 1
         elif tag in MARKS:
+            self.open.append((MARKS[tag], len(self.text)))
             self.text.append(MARKS[tag])
         elif tag == "img":
             given = dict(attrs)
@@ -72,19 +84,19 @@ class _Reader(HTMLParser):
             return
         if tag in ("td", "th") and self.row is not None:
             self.row.append(re.sub(r"\s+", " ", "".join(self.text)).strip())
-            self.text = []
+            self.text, self.open = [], []
         elif tag == "tr" and self.row is not None:
             if any(self.row):
                 self.blocks.append((bool(self.roots), "| " + " | ".join(self.row) + " |"))
-            self.row, self.text = None, []
+            self.row, self.text, self.open = None, [], []
         elif tag in BLOCKS or tag in HEADINGS:
             self.flush()
             if self.roots and tag == self.roots[-1]:
                 self.roots.pop()
         elif tag == "a":
             self.in_link = max(self.in_link - 1, 0)
-        elif tag in MARKS:
-            self.text.append(MARKS[tag])
+        elif tag in MARKS and self.open:
+            self.close_mark(MARKS[tag])
 
     def handle_data(self, data):
         if not self.skip:
