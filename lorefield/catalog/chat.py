@@ -35,11 +35,11 @@ def chat_last_by_role(spark, base):
     return up.last_by_role(_turns(spark, base))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, CAST(count(*) AS INTEGER) AS messages FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn // 256 AS page, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, CAST(count(*) AS INTEGER) AS messages FROM conversations GROUP BY ALL")
 def chat_history_state(spark, base):
     state = up.conversation_state(_turns(spark, base))
     lines = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return state.select("conv_id", F.array_join(lines, "\n").alias("history"), F.size("history").alias("messages"))
+    return state.select("conv_id", "page", F.array_join(lines, "\n").alias("history"), F.size("history").alias("messages"))
 
 
 @query(
@@ -150,5 +150,5 @@ def upload_list(spark, base):
     ids = F.concat_ws("-", "conv_id", "turn")
     uploads = turns.select("conv_id", "turn", idx.alias("idx"), ids.alias("id"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"), F.concat(F.lit("conv-"), "conv_id").alias("file_name"))
     patched = up.patch(uploads, turns.select(ids.alias("id"), status.alias("status"), F.lit(None).cast("string").alias("error")))
-    named = up.results_to_uploads(patched.select("conv_id", "turn", "status", "file_name"), uploads)
+    named = up.results_to_uploads(patched.select("conv_id", "turn", "id", "status", "file_name"), uploads)
     return up.unfinished(named).select("conv_id", "turn", "status", F.col("idx").alias("first_idx"))

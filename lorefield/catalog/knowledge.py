@@ -126,11 +126,11 @@ FROM kept k JOIN ideg i USING (id) JOIN merged m ON m.key = k.id"""
 def kg_graph_view(spark, base):
     records = checkpointed(src.chunk_records(spark, base).select("doc_id", "chunk_index", "chunk_id", "entities", "relationships"))
     mentions, edges = _graph_of(records)
-    nodes, _, flag = gr.top_subgraph(checkpointed(edges.select("src", "dst")))
+    nodes, _, _ = gr.top_subgraph(checkpointed(edges.select("src", "dst")))
     # At most 1000 nodes come out of the cut, so they are the broadcast side of the property lookup.
     shown = checkpointed(nodes)
     entities = gr.merge_mentions(mentions.join(F.broadcast(shown.select(F.col("id").alias("key"))), "key", "left_semi"))
-    joined = shown.join(entities.select(F.col("key").alias("id"), "entity_type", "description"), "id").join(F.broadcast(flag))
+    joined = shown.join(entities.select(F.col("key").alias("id"), "entity_type", "description"), "id")
     return joined.select(
         "id", "entity_type", "description", "full_degree", "degree", F.round(gr.node_size(F.col("degree")), 6).alias("size"), "is_truncated"
     )

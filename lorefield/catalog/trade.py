@@ -46,8 +46,8 @@ ideg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM inside UNION
 SELECT k.id, k.degree AS full_degree, i.degree, (SELECT count(*) FROM deg) > 300 AS is_truncated FROM kept k JOIN ideg i USING (id)"""
 )
 def trade_top_subgraph(spark, base):
-    nodes, _, flag = gr.top_subgraph(checkpointed(src.trade_edges(spark, base)))
-    return nodes.join(F.broadcast(flag))
+    nodes, _, _ = gr.top_subgraph(checkpointed(src.trade_edges(spark, base)))
+    return nodes
 
 
 @query(
@@ -75,8 +75,8 @@ ideg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM inside UNION
 SELECT k.id, k.degree AS full_degree, i.degree, (SELECT count(*) FROM cand) > 100 AS is_truncated FROM kept k JOIN ideg i USING (id)"""
 )
 def trade_centered_subgraph(spark, base):
-    nodes, _, flag = gr.top_subgraph(checkpointed(src.trade_edges(spark, base)), "region:1", max_depth=2, max_nodes=100)
-    return nodes.join(F.broadcast(flag))
+    nodes, _, _ = gr.top_subgraph(checkpointed(src.trade_edges(spark, base)), "region:1", max_depth=2, max_nodes=100)
+    return nodes
 
 
 @query(

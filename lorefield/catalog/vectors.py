@@ -8,6 +8,7 @@ from lorefield.catalog.sqlparts import words
 from lorefield.functions import vectors as vf
 from lorefield.operators import retrieve as rt
 from lorefield.operators import vector as ve
+from lorefield.operators.skew import lookup_join
 from lorefield.session import apply_semantics, table
 
 QUERIES = {}
@@ -114,8 +115,8 @@ SELECT query_id, index, round(score, 6) AS relevance_score, CAST(row_number() OV
 def conversation_rerank(spark, base):
     """Turns of a conversation ranked by overlap with its first message; equal scores keep turn order."""
     turns = table(spark, base, "conversations", "conv_id", "turn", "text")
-    opening = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query_text"))
-    pairs = turns.join(opening, "conv_id").select(
+    opening = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query_text"), F.count(F.lit(1)).alias("n"))
+    pairs = lookup_join(turns, opening, "conv_id", "n", "turn", how="inner").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("index"), "query_text", F.col("text").alias("document")
     )
     ranked = rt.rerank(pairs, 2)

@@ -215,6 +215,7 @@ def top_subgraph(
 
     Nodes are ranked by their degree in the whole graph; the degree shown is the one inside the sub-graph, and
     nodes without an edge there are left out. `max_nodes` is at most 1000, so the node set is safe to broadcast.
+    The nodes carry the flag too.
     """
     if not 1 <= max_nodes <= MAX_GRAPH_NODES or not 1 <= max_depth <= MAX_GRAPH_DEPTH:
         raise ValueError("max_nodes must be in 1..1000 and max_depth in 1..10")
@@ -224,9 +225,12 @@ def top_subgraph(
         ranked = ranked.join(within_hops(edges, start, max_depth).select("id"), "id", "left_semi")
     # One more than wanted tells whether the graph was cut, without counting it.
     top = ranked.orderBy(F.desc("degree"), "id").limit(max_nodes + 1)
-    numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "id")))
-    kept = numbered.where(F.col("rank") <= max_nodes).select("id", F.col("degree").alias("full_degree"))
-    flag = numbered.agg((F.max("rank") > max_nodes).alias("is_truncated"))
+    # Both windows see at most max_nodes + 1 rows.
+    numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "id"))).withColumn(
+        "is_truncated", F.max("rank").over(Window.partitionBy()) > max_nodes
+    )
+    kept = numbered.where(F.col("rank") <= max_nodes).select("id", F.col("degree").alias("full_degree"), "is_truncated")
+    flag = numbered.agg(F.coalesce(F.max("rank") > max_nodes, F.lit(False)).alias("is_truncated"))
     inside = induced_edges(edges, kept)
     nodes = kept.join(degrees(inside), "id")
     return nodes, inside, flag

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorefield.functions.text import count_tokens
+from lorefield.operators.skew import lookup_join
 from lorefield.operators.vector import overlap_score
+from lorefield.session import checkpointed
 
 # --- fixed values ---
 RRF_K = 60
@@ -109,13 +111,15 @@ def related_by_entity(hits: DataFrame, mentions: DataFrame, chunks: DataFrame, l
         F.col("r") <= limit + 1
     )
     own = mentions.select("key", "chunk_id").distinct().join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    only_itself = (F.col("lo") == F.col("chunk_id")) & (F.col("hi") == F.col("chunk_id"))
+    per_key = smallest.groupBy("key").agg(F.collect_list(F.struct("content", "lo", "hi")).alias("few"))
+    lookup = per_key.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    candidates = lookup_join(own, lookup, "key", "n", "chunk_id", how="inner").select("chunk_id", F.explode("few").alias("t"))
+    only_itself = (F.col("t.lo") == F.col("chunk_id")) & (F.col("t.hi") == F.col("chunk_id"))
     lists = (
-        own.join(smallest, "key")
-        .where(~only_itself)
+        candidates.where(~only_itself)
         .groupBy("chunk_id")
         # At most (entities of one chunk) x (limit + 1) texts.
-        .agg(F.slice(F.array_sort(F.collect_set("content")), 1, limit).alias("related_context"))
+        .agg(F.slice(F.array_sort(F.collect_set("t.content")), 1, limit).alias("related_context"))
     )
     return hits.join(lists, "chunk_id", "left").withColumn(
         "related_context", F.coalesce("related_context", F.expr("cast(array() as array<string>)"))
@@ -127,7 +131,8 @@ def graph_hits(query_entities: DataFrame, edges: DataFrame, mentions: DataFrame)
 
     `query_entities`: (query_id, key). Counting combines before the shuffle, so common entities stay cheap.
     """
-    wanted, _ = query_neighborhood(query_entities, edges)
+    # Stored, so that the join sees its size, and can split the rows of a common entity when it does not broadcast.
+    wanted = checkpointed(query_neighborhood(query_entities, edges)[0])
     links = mentions.select("key", "chunk_id").distinct()
     return links.join(wanted, "key").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"))
 

@@ -11,6 +11,7 @@ from lorefield.functions.text import casefold
 from lorefield.operators import extract as ex
 from lorefield.operators import retrieve as rt
 from lorefield.operators import vector as ve
+from lorefield.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,9 @@ class AskOptions:
 def query_entities(questions: DataFrame, options: AskOptions = AskOptions()) -> DataFrame:
     """(query_id, key) of the entities a question names."""
     found = ex.extract_records(questions.select("query_id", "query_text"), "query_text", options.predictor)
-    return found.select("query_id", F.explode("entities").alias("e")).select("query_id", casefold(F.col("e.name")).alias("key"))
+    rows = ex.entity_rows(found, "query_id").select("query_id", casefold(F.col("name")).alias("key"))
+    # Joined several times: as a stored table it is computed once and its size is known.
+    return checkpointed(rows.distinct())
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, mentions: DataFrame, edges: DataFrame, options: AskOptions = AskOptions()) -> DataFrame:
