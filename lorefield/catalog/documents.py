@@ -261,7 +261,7 @@ def doc_status_resume(spark, base):
     return status.select("id", "status", F.col("status").isin(*mf.RESUMABLE).alias("resumable")).join(errors, "id", "left")
 
 
-@query("SELECT source, lang, count(*) AS docs, sum(n_chars) AS chars, max(n_chars) AS longest FROM documents GROUP BY ALL")
+@query("SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY ALL")
 def doc_source_inventory(spark, base):
     docs = src.documents(spark, base, "source", "lang", "n_chars")
     return docs.groupBy("source", "lang").agg(

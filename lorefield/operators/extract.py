@@ -268,10 +268,10 @@ def _shape_records(application: str, content: str, threshold: float | None) -> C
     """The all-JVM expression; it is long, so it is put together once per application and column."""
     text = F.col(content)
 
-    def from_windows(spans: Column, wins: Column) -> Column:
-        return _records_from(text, threshold, spans, wins, F.transform(wins, lambda w: shape_mentions(w["text"])))
-
-    return let(sentence_spans(text), lambda spans: let(windows(text, spans), lambda wins: from_windows(spans, wins)))
+    # No shape crosses a sentence end, so one window over the whole chunk finds what the packed windows would.
+    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("text")))
+    found = F.array(shape_mentions(text))
+    return let_all([sentence_spans(text), whole, found], lambda *parts: _records_from(text, threshold, *parts))
 
 
 def window_list_predictor(predict: Callable[[list[str]], list[list[dict]]]) -> Predictor:

@@ -129,3 +129,13 @@ def test_nothing_to_find(spark, text):
     df = spark.createDataFrame([(1, text)], "id long, content string")
     row = ex.extract_records(df).first()
     assert row.entities == [] and row.relationships == []
+
+
+def test_whole_chunk_equals_packed_windows(spark):
+    """The default predictor reads a chunk at once; run over packed windows it must find the same records."""
+    rng = random.Random(5)
+    vocab = ["Ada Byrne", "Kenji", "NATO", "interoperability", "2024-01-05", "and", "the", "x.", "y!Z", "Osaka?\n", "\n \n", "..."]
+    texts = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (5, 200, 900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    windowed = ex.extract_records(df, predictor=lambda wins: F.transform(wins, ex.shape_mentions))
+    assert sorted(ex.extract_records(df).collect()) == sorted(windowed.collect())
