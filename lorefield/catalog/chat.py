@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorefield.catalog.sqlparts import NON_WS, WS, words
+from lorefield.catalog.sqlparts import NON_WS, WS
 from lorefield.functions import markdown as md
 from lorefield.functions import text as tx
 from lorefield.operators import uploads as up
@@ -60,7 +60,7 @@ def _answers(spark, base):
     """Assistant turns as streamed answers: pieces with their blanks, and a failure where a system turn says so."""
     turns = _turns(spark, base).where("role <> 'user'")
     text = F.col("text")
-    pieces = F.concat(F.regexp_extract_all(text, F.lit(f"{WS_J}*{NON_WS_J}+"), F.lit(0)), F.array(F.lit("")))
+    pieces = F.concat(F.regexp_extract_all(text, F.lit(f"{tx.WS}*{tx.NON_WS}+"), F.lit(0)), F.array(F.lit("")))
     refs = F.array(
         F.struct(F.lit("1").alias("reference_id"), F.concat(F.lit("conv-"), "conv_id", F.lit(".txt")).alias("file_path"), F.lit("x").alias("extra"))
     )
@@ -76,9 +76,6 @@ def _answers(spark, base):
     )
 
 
-from lorefield.functions.text import NON_WS as NON_WS_J  # noqa: E402
-from lorefield.functions.text import WS as WS_J  # noqa: E402
-
 _EVENTS = f"""
 a AS (
   SELECT conv_id, turn, role, regexp_extract_all(text, '{WS}*{NON_WS}+') AS chunks,

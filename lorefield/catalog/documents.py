@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorefield.catalog import inputs as src
-from lorefield.catalog.sqlparts import NON_WS, SENTENCE, WS, chunk_id, lit, norm, sentences, strip, token_chunks, unique_docs, words
+from lorefield.catalog.sqlparts import WS, chunk_id, norm, sentences, strip, token_chunks, unique_docs, words
 from lorefield.functions.arrays import explode_rows
 from lorefield.functions import sentences as st
 from lorefield.functions import text as tx

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorefield.catalog import inputs as src
-from lorefield.catalog.sqlparts import WS, chunk_id, extraction, fold, lit, sentences, strip, text_graph, token_chunks, unique_docs, words
+from lorefield.catalog.sqlparts import chunk_id, extraction, sentences, text_graph, token_chunks, unique_docs, words
 from lorefield.functions import sentences as st
 from lorefield.functions import text as tx
 from lorefield.operators import extract as ex

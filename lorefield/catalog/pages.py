@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lorefield.catalog.sqlparts import WS, lit, strip, words
 from lorefield.functions import urls, web
 from lorefield.functions.article import article_markdown_udf
-from lorefield.functions.text import py_strip, word_count
 from lorefield.operators.skew import spread_small_input
 from lorefield.sources import web as sw
 from lorefield.session import apply_semantics, table

@@ -19,10 +19,15 @@ TRAILING_PATTERN = (
 FOOTNOTE_PATTERN = r"\s?\[\d{1,3}\]"
 NOISE_TAGS = ("script", "style", "nav", "footer", "header", "aside")
 METADATA_FIELDS = ("title", "author", "date", "sitename", "description", "categories", "tags")
-SOURCE_TYPES = {"zenrows": "article_zenrows", "trafilatura": "article"}
+# The two ways a page is fetched, as stored with it, and the source type each gives.
+SCRAPED = "zenrows"
+FETCHED = "trafilatura"
+SOURCE_TYPES = {SCRAPED: "article_zenrows", FETCHED: "article"}
+NOT_FETCHED = "Could not fetch URL: "
+NO_ARTICLE = "No article content extracted from: "
+NO_VIDEO_ID = "Could not extract a YouTube video ID from: "
 # --------------------
 
-# The two ways a page is fetched, and the source type each gives.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 

@@ -28,6 +28,8 @@ def token_pieces(text: Column) -> Column:
 
 def token_windows(pieces: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP_TOKENS) -> Column:
     """array<struct<token_start, token_count, content>> of overlapping windows over the tokens."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
 
     def build(tokens: Column) -> Column:
         count = F.size(tokens)

@@ -16,6 +16,10 @@ UNKNOWN_TYPE = "unknown"
 RECONCILED_HASH_PREFIX = "external-md5:"
 TOMBSTONE_PREFIX = "dup-"
 NO_CONTENT_ERROR = "No content to ingest."
+REJECTED_HINT = (
+    " was rejected as a duplicate, but no indexed document with that name exists. "
+    "Delete it from the knowledge base and upload again."
+)
 RESUMABLE = ("pending", "processing", "failed")
 # --------------------
 
@@ -140,10 +144,7 @@ def resolve_rejected(rejected: DataFrame, manifest: DataFrame) -> DataFrame:
     hint = F.concat(
         F.lit("'"),
         F.col("file_name"),
-        F.lit(
-            "' was rejected as a duplicate, but no indexed document with that name exists. "
-            "Delete it from the knowledge base and upload again."
-        ),
+        F.lit("'" + REJECTED_HINT),
     )
     return joined.select(
         "seq",

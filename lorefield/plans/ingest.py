@@ -54,12 +54,13 @@ def ingest(incoming: DataFrame, manifest: DataFrame, date_added: Column, options
     """Outcome of one batch plus the index tables and manifest rows of its new documents.
 
     `incoming`: (seq, file_name, source_type, text), optionally with `error` from the parsers. Duplicates never reach
-    the chunker: the anti join comes before every costly step.
+    the chunker: the anti join comes before every costly step. The texts are scanned once for their hashes and once to
+    be chunked, which is cheaper than writing them again; store `incoming` first when parsing it is expensive.
     """
     parsed_error = F.col("error") if "error" in incoming.columns else F.lit(None).cast("string")
     staged = mf.prepare(incoming.withColumn("_parsed", parsed_error)).withColumn("error", F.coalesce("_parsed", "error"))
-    prepared = checkpointed(staged.drop("_parsed"))
-    fresh = checkpointed(mf.new_documents(prepared, manifest))
+    prepared = staged.drop("_parsed")
+    fresh = mf.new_documents(prepared, manifest)
     tables = index(fresh.select("doc_id", "text"), options)
     counted = ch.chunk_counts(fresh.drop("text"), tables["chunks"])
     tables["manifest"] = mf.manifest_rows(counted, date_added)

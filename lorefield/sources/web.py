@@ -41,8 +41,8 @@ def fetch_with_fallback(requests: DataFrame, attempts: DataFrame, direct: DataFr
     return joined.select(
         "url",
         F.coalesce("_z", direct_html).alias("html"),
-        F.when(F.col("_z").isNotNull(), "zenrows").when(direct_html.isNotNull(), "trafilatura").alias("source"),
-        F.when(F.coalesce("_z", direct_html).isNull(), F.concat(F.lit("Could not fetch URL: "), F.col("url"))).alias("error"),
+        F.when(F.col("_z").isNotNull(), web.SCRAPED).when(direct_html.isNotNull(), web.FETCHED).alias("source"),
+        F.when(F.coalesce("_z", direct_html).isNull(), F.concat(F.lit(web.NOT_FETCHED), F.col("url"))).alias("error"),
     )
 
 
@@ -59,7 +59,7 @@ def article_rows(pages: DataFrame, markdown) -> DataFrame:
     title, dek = web.page_title(F.col("html")), web.meta_content(F.col("html"), "og:description")
     staged = pages.withColumn("_md", markdown(F.col("html"))).withColumn("title", title)
     staged = staged.withColumn("body", web.finish_article(F.col("_md"), F.col("title"), dek))
-    missing = F.concat(F.lit("No article content extracted from: "), F.col("url"))
+    missing = F.concat(F.lit(web.NO_ARTICLE), F.col("url"))
     return staged.select(
         "url",
         "title",
@@ -148,7 +148,7 @@ def dispatch(requests: DataFrame) -> DataFrame:
         {
             "branch": kind,
             "video_id": F.when(kind == "video", urls.video_id(url)),
-            "error": F.when(bad, F.concat(F.lit("Could not extract a YouTube video ID from: "), url)),
+            "error": F.when(bad, F.concat(F.lit(web.NO_VIDEO_ID), url)),
         }
     )
 

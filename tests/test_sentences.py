@@ -106,3 +106,21 @@ def test_cascade_goes_finer_only_where_needed(spark):
 def test_cascade_without_fallback_separator_cuts_by_width():
     got = ch.cascade_split("x" * 100, size=5, overlap=1, separators=["\n"])
     assert got[0] == "x" * 20 and got[1] == "x" * 20 and len(got) == 7
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc.!?;, \n", max_size=400), st.integers(3, 12), st.integers(0, 2))
+def test_cascade_chunks_are_pieces_of_the_text_and_lose_nothing(text, size, overlap):
+    cost = lambda s: len(s.split())
+    got = ch.cascade_split(text, size, overlap, cost=cost)
+    at = 0
+    for chunk in got:
+        assert chunk in text
+        # Chunks come in order; each starts at or before the end of what is covered so far.
+    words = text.replace(".", " ").replace("!", " ").replace("?", " ").replace(";", " ").replace(",", " ").split()
+    seen = " ".join(got).replace(".", " ").replace("!", " ").replace("?", " ").replace(";", " ").replace(",", " ").split()
+    for word in words:
+        while at < len(seen) and seen[at] != word:
+            at += 1
+        assert at < len(seen)
+        at += 1
