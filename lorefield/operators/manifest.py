@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorefield.functions.text import content_hash, doc_id_from_hash, falsy, py_strip, utf8_size
 from lorefield.operators.skew import lookup_join
 from lorefield.schemas import MANIFEST
+from lorefield.session import checkpointed
 
 # --- fixed values ---
 EXTENSION_TYPES = {".pdf": "pdf", ".md": "markdown", ".markdown": "markdown", ".txt": "text"}
@@ -66,7 +67,9 @@ def resolve_batch(prepared: DataFrame, manifest: DataFrame) -> DataFrame:
     A row whose hash is known (in the manifest, or from an earlier row of the batch) gives the known document with
     deduped = true; otherwise it is new. The texts take no part in the join, only their hashes do.
     """
-    light = prepared.where(F.col("error").isNull()).select("seq", "content_hash", "file_name", "source_type", "size_bytes")
+    usable = prepared.where(F.col("error").isNull())
+    # Narrow rows, stored once: the texts are scanned and hashed a single time although the rows are read three times.
+    light = checkpointed(usable.select("seq", "content_hash", "file_name", "source_type", "size_bytes"))
     winners = light.groupBy("content_hash").agg(
         F.min_by(F.struct("seq", "file_name", "source_type", "size_bytes"), "seq").alias("first"),
         F.count(F.lit(1)).alias("copies"),
@@ -95,6 +98,11 @@ def resolve_batch(prepared: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def fresh_documents(prepared: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The rows to index, with their texts, given the outcomes of `resolve_batch`."""
+    return prepared.join(outcomes.where(~F.col("deduped")).select("seq", "doc_id"), "seq")
+
+
 def new_documents(prepared: DataFrame, manifest: DataFrame) -> DataFrame:
     """The rows to index, with their texts: first of each hash and not in the manifest."""
     usable = prepared.where(F.col("error").isNull())
@@ -232,6 +240,4 @@ def append_manifest(rows: DataFrame, name: str) -> None:
 
 def rewrite_manifest(rows: DataFrame, name: str) -> None:
     """Replace the table's rows. The new rows are made durable first because they are read from the same table."""
-    from lorefield.session import checkpointed
-
     checkpointed(rows.select(*ROW)).write.insertInto(name, overwrite=True)

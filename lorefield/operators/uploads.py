@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorefield.operators.skew import lookup_join, running
+from lorefield.session import checkpointed
 
 # --- fixed values ---
 FINISHED = ("done", "error")
@@ -56,7 +57,7 @@ def history_before(messages: DataFrame) -> DataFrame:
     so a very long conversation is neither copied into its later rows nor held by one task.
     """
     paged = messages.select("conv_id", "turn", "role").withColumn("_page", F.floor(F.col("turn") / PAGE_TURNS))
-    counted = running(paged, ["conv_id"], "_page", ["turn"], F.lit(1), "history_len", "sum", exclusive=True)
+    counted = checkpointed(running(paged, ["conv_id"], "_page", ["turn"], F.lit(1), "history_len", "sum", exclusive=True))
     ended = running(counted, ["conv_id"], "_page", ["turn"], F.col("turn"), "history_last_turn", "max", exclusive=True)
     return ended.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("history_len").cast("long").alias("history_len"), "history_last_turn"

@@ -60,11 +60,12 @@ def ingest(incoming: DataFrame, manifest: DataFrame, date_added: Column, options
     parsed_error = F.col("error") if "error" in incoming.columns else F.lit(None).cast("string")
     staged = mf.prepare(incoming.withColumn("_parsed", parsed_error)).withColumn("error", F.coalesce("_parsed", "error"))
     prepared = staged.drop("_parsed")
-    fresh = mf.new_documents(prepared, manifest)
+    outcomes = checkpointed(mf.resolve_batch(prepared, manifest))
+    fresh = mf.fresh_documents(prepared, outcomes)
     tables = index(fresh.select("doc_id", "text"), options)
     counted = ch.chunk_counts(fresh.drop("text"), tables["chunks"])
     tables["manifest"] = mf.manifest_rows(counted, date_added)
-    tables["results"] = mf.resolve_batch(prepared, manifest)
+    tables["results"] = outcomes
     tables["errors"] = prepared.where(F.col("error").isNotNull()).select("seq", "file_name", "error")
     return tables
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorefield.functions.text import is_daily_quota, retry_after_seconds, tpm_limit
 from lorefield.operators.skew import running
+from lorefield.session import checkpointed
 
 # --- fixed values ---
 RETRIES = 3
@@ -37,8 +38,10 @@ def bucket_schedule(
     full_us = F.lit(60 * MICROS).cast("long")
     cost = F.round(F.least(F.col("tokens"), F.lit(tokens_per_minute)) * us_per_token).cast("long")
     df = requests.withColumn("_cost", cost)
-    df = running(df, keys, segment, order, F.col("_cost"), "_sum", "sum")
-    df = running(df, keys, segment, order, F.col("at_us") - (F.col("_sum") - F.col("_cost")), "_lead", "max", exclusive=True)
+    # A scan reads its input twice (rows and segment totals), so each result is stored before the next scan builds on it.
+    df = checkpointed(running(df, keys, segment, order, F.col("_cost"), "_sum", "sum"))
+    lead = F.col("at_us") - (F.col("_sum") - F.col("_cost"))
+    df = checkpointed(running(df, keys, segment, order, lead, "_lead", "max", exclusive=True))
     # Until the first request the bucket is full.
     full_again = F.col("_sum") - F.col("_cost") + F.col("_lead")
     earliest = F.greatest(F.col("at_us"), full_again + F.col("_cost") - full_us)
