@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import langid
+from lorefield.llm import decontaminate, langid
 from lorefield.llm.common import documents, held_out
+from lorefield.session import table
+
+
+def op8_decontaminate(spark: SparkSession, base: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, base).select("doc_id", "text"), table(spark, base, "benchmark", "item_id", "text"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    hit = decontaminate.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
 
 
 def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
@@ -15,5 +30,5 @@ def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op10_language_id": op10_language_id}
+QUERIES = {"op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
