@@ -65,12 +65,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write the rows as a table in the checkpoint folder and read it back.
 
     The lineage ends there, so a lost executor costs a re-read and not the whole history; and unlike an RDD checkpoint
     the table keeps column pruning and its real size, which the planner needs to choose joins.
     """
     path = shared_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
