@@ -18,4 +18,13 @@ FROM keyed k LEFT JOIN owners o ON k.key = o.key
 GROUP BY k.doc_id
 """
 
-ORACLES = {"op2_line_dedup": OP2}
+OP6 = f"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, translate(coalesce(text, ''), {WHITE}, '') AS body FROM documents
+), g AS (
+  SELECT body, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM t GROUP BY body
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)
+"""
+
+ORACLES = {"op6_exact_dedup": OP6, "op2_line_dedup": OP2}

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import decontaminate, langid, linededup
+from lorefield.llm import decontaminate, exactdup, langid, linededup, packing
 from lorefield.llm.common import documents, held_out
 from lorefield.llm.oracles import ORACLES  # noqa: F401  (read by the registry)
 from lorefield.session import table
 
 
+def op1_packing(spark: SparkSession, base: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, base), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_line_dedup(spark: SparkSession, base: str) -> DataFrame:
     done = linededup.dedup_lines(documents(spark, base).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_exact_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return exactdup.exact_groups(documents(spark, base))
+
+
 def op8_decontaminate(spark: SparkSession, base: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, base).select("doc_id", "text"), table(spark, base, "benchmark", "item_id", "text"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -36,5 +46,5 @@ def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op1_packing": op1_packing, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
 
