@@ -290,37 +290,37 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_length: int = 3
     return found
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest node id of each connected component, for all nodes that have an edge.
 
-    Every round takes the smallest label among the neighbours and then jumps to the label's own label, so chains
-    shrink quickly. The minimum combines on the map side, which keeps hubs cheap.
+    Trees of parent links grow over the components: each round every edge offers its far end's grandparent, the offer
+    goes to the node and to its tree's root, and links are shortened. Whole trees join at once, so the number of rounds
+    follows the logarithm of the longest path; the loop ends when a round changes no grandparent. Minima combine before
+    the shuffle, which keeps hubs cheap.
     """
-    pairs = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"))
-    both = checkpointed(both)
+    pairs = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    both = checkpointed(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     first = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
-    labels = checkpointed(first.select("id", F.least("id", "m").alias("component")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(
-            F.min("component").alias("m")
-        )
-        lowered = labels.join(seen, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("new"))
-        parents = labels.select(F.col("id").alias("new"), F.col("component").alias("up"))
-        jumped = checkpointed(
-            lowered.join(parents, "new", "left").select(
-                "id", "old", F.least(F.col("new"), F.coalesce("up", "new")).alias("component")
-            )
-        )
-        changed = jumped.where(F.col("old") != F.col("component")).limit(1).count()
-        labels = jumped.select("id", "component")
+    parents = _with_grandparents(first.select("id", F.least("id", "m").alias("parent")))
+    while True:
+        far = parents.select(F.col("id").alias("dst"), F.col("top").alias("offer"))
+        best = both.join(far, "dst").groupBy(F.col("src").alias("id")).agg(F.min("offer").alias("offer"))
+        offers = parents.join(best, "id").select("id", "parent", "top", "offer")
+        to_self = offers.select("id", F.least("parent", "top", "offer").alias("parent"))
+        to_root = offers.select(F.col("parent").alias("id"), F.col("offer").alias("parent"))
+        hooked = to_self.unionByName(to_root).groupBy("id").agg(F.min("parent").alias("parent"))
+        following = _with_grandparents(hooked)
+        before = parents.select("id", F.col("top").alias("old"))
+        changed = following.join(before, "id").where(F.col("old") != F.col("top")).limit(1).count()
+        parents = following
         if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    alone = loops.distinct().join(labels.select("id"), "id", "left_anti")
-    return labels.unionByName(alone.select("id", F.col("id").alias("component")))
+            return parents.select("id", F.col("top").alias("component"))
+
+
+def _with_grandparents(parents: DataFrame) -> DataFrame:
+    """Add `top`, the parent's parent, and store the result."""
+    above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("top"))
+    return checkpointed(parents.join(above, "parent").select("id", "parent", "top"))
 
 
 def store_stats(**tables: DataFrame) -> DataFrame:
