@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import decontaminate, exactdup, langid, linededup, neardup, packing
+from lorefield.llm import brown, decontaminate, exactdup, langid, linededup, neardup, packing
 from lorefield.llm.common import documents, held_out
 from lorefield.llm.oracles import ORACLES  # noqa: F401  (read by the registry)
 from lorefield.session import table
@@ -26,6 +26,11 @@ def op3_near_dedup(spark: SparkSession, base: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, base), shingle=4)
 
 
+def op4_lm_scoring(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base).select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    return brown.score_texts(docs)
+
+
 def op6_exact_dedup(spark: SparkSession, base: str) -> DataFrame:
     return exactdup.exact_groups(documents(spark, base))
 
@@ -50,5 +55,5 @@ def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
 
