@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import brown, decontaminate, exactdup, langid, linededup, neardup, packing
+from lorefield.llm import brown, decontaminate, exactdup, langid, linededup, neardup, packing, toxicity
 from lorefield.llm.common import documents, held_out
 from lorefield.llm.oracles import ORACLES  # noqa: F401  (read by the registry)
 from lorefield.session import table
@@ -49,11 +49,18 @@ def op8_decontaminate(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base).select("doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    labels = table(spark, base, "labels", "doc_id", "toxic").where(~held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.train(docs.where(~F.col("held_out")), labels)
+    return toxicity.score_texts(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
     docs = documents(spark, base).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op8_decontaminate": op8_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
 
