@@ -102,12 +102,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ke
         store.add(here.groupBy("h1", "h2").agg(F.min("_doc").alias("owner")))
     owned = store.owners().withColumnRenamed("owner", "_doc")
     lost = stored.join(owned.hint("merge"), ["h1", "h2", "_doc"], "left_anti").groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_lost"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    joined = docs.withColumn("_doc", own_id).withColumn("_row", row_hash).join(lost, ["_doc", "_row"], "left")
-    lines = joined.select(*names, F.coalesce("_lost", F.array().cast("array<int>")).alias("_lost"), _lines(F.col(text)).alias("_lines"))
+    given = docs.select(F.struct("*").alias("_given"), own_id.alias("_doc"), row_hash.alias("_row")).join(lost, ["_doc", "_row"], "left")
+    lines = given.select("_given", F.coalesce("_lost", F.array().cast("array<int>")).alias("_lost"), _lines(F.col("_given")[text]).alias("_lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
     return lines.select(
-        *names,
+        *(F.col("_given")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_lost").cast("long").alias("n_dropped"),
         F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n").alias("kept_text"),
