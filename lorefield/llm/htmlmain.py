@@ -1,9 +1,9 @@
 """Main text of web pages by deducing the template that the pages of a host share.
 
 Every element path and every word under a path is a token. Tokens with the same occurrence vector over a host's pages
-are one equivalence class. A class is valid when it holds an element's path and enough pages have it; words in the class
-of the element around them are part of the template, and classes nest as their paths do. What the template leaves are
-slots. A page's text is the slots of its article, without the parts that its markup names as something else.
+are one equivalence class. A class is valid when enough pages have it and it holds the path of an element or of the page
+as a whole; words in the class of the element or page around them are part of the template, and classes nest as their
+paths do. What the template leaves are slots. A page's text is the slots of its article, without the parts that its markup names as something else.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from lorefield.session import checkpointed
 
 LEAST_PAGES = 8
 LINK_SHARE = 0.5
+TEMPLATE_SHARE = 0.5
 SLICE_BYTES = 4 << 20
+PAGE = "page"
 
 # Fixed values of the HTML standard: elements without content, with raw content, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -191,37 +193,33 @@ ROLE_NAMES = [f.split(" ")[0] for f in ROLES.split(", ")]
 def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial occurrence vectors of the tokens of each host, as exclusive-or of a hash of (page, count).
 
-    A word whose part already differs from that of the element around it cannot be in that element's class and is left out.
+    A word whose part already differs from that of the element or page around it cannot be in its class and is left out.
     """
     page = TaskContext.get().partitionId() << 32
     for part in flat.slices(batches, "html", limit=SLICE_BYTES):
-        paths: dict[tuple[str, str], list[int]] = {}
-        words: dict[tuple[str, str, str], list[int]] = {}
+        paths: dict[tuple[str, str], tuple[int, int]] = {}
+        words: dict[tuple[str, str, str], tuple[int, int]] = {}
         for host, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            own: dict[str, dict[str, int]] = {}
+            own = {PAGE: {"": 1}}
             for block in blocks_of(text or ""):
                 seen = own.setdefault(block.path, {"": 0})
                 seen[""] += 1
                 for word in block.words:
                     seen[word] = seen.get(word, 0) + 1
+            once = _hash(f"{page} 1")
             for path, seen in own.items():
                 count = seen.pop("")
-                mark = _hash(f"{page} {count}")
-                got = paths.setdefault((host, path), [0, 0])
-                got[0] ^= mark
-                got[1] += 1
+                mark = once if count == 1 else _hash(f"{page} {count}")
+                vector, pages = paths.get((host, path), (0, 0))
+                paths[host, path] = vector ^ mark, pages + 1
                 for word, n in seen.items():
-                    if n == count:
-                        got = words.setdefault((host, path, word), [0, 0])
-                        got[0] ^= mark
-                        got[1] += 1
+                    if n == count or n == 1:
+                        vector, pages = words.get((host, path, word), (0, 0))
+                        words[host, path, word] = vector ^ (mark if n == count else once), pages + 1
             page += 1
-        rows = [(host, _role(path), None, path, None, v, n) for (host, path), (v, n) in paths.items()]
-        rows += [
-            (host, _role(path, word), _role(path), path, word, v, n)
-            for (host, path, word), (v, n) in words.items()
-            if paths[host, path] == [v, n]
-        ]
+        rows = [(host, _role(path), None, path, None, *got) for (host, path), got in paths.items()]
+        for (host, path, word), got in words.items():
+            rows += [(host, _role(path, word), _role(around), path, word, *got) for around in (path, PAGE) if paths[host, around] == got]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
         columns = zip(*rows, strict=True) if rows else [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ROLE_NAMES)
@@ -233,24 +231,32 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, role, vector, pages, words): the elements of valid classes, and the words in the class of each.
+    """(host, path, role, vector, pages, words): the elements of valid classes, and the words in the class of each with the path
+    they stand under.
 
     Rows of one host with equal `vector` are one class; a class lies inside another when its path does.
     """
-    tokens = pages.mapInArrow(_roles, ROLES).groupBy("host", "role").agg(
-        F.first("around").alias("around"), F.first("path").alias("path"), F.first("word").alias("word"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")
+    tokens = pages.mapInArrow(_roles, ROLES).groupBy("host", "role", "around").agg(
+        F.first("path").alias("path"), F.first("word").alias("word"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")
     )
     tokens = checkpointed(tokens.where(F.col("pages") >= least_pages))
     elements = tokens.where(F.col("around").isNull()).select("host", "path", "role", "vector", "pages")
-    inner = tokens.where(F.col("around").isNotNull()).select("host", F.col("around").alias("role"), "vector", "pages", "word")
+    inner = tokens.where(F.col("around").isNotNull()).select("host", F.col("around").alias("role"), "vector", "pages", F.struct(F.col("path").alias("under"), "word").alias("word"))
     words = inner.groupBy("host", "role", "vector", "pages").agg(F.collect_list("word").alias("words"))
     return elements.join(words, ["host", "role", "vector", "pages"], "left")
 
 
 def _text(page: str, fixed: set[tuple[str, str]]) -> str:
-    """The page's slots: blocks of its article with a word outside the template."""
+    """The page's slots: blocks of its article with a word outside the template.
+
+    Where the template would take more than TEMPLATE_SHARE of what the markup leaves, the host's pages are copies of one
+    page, and the page is taken whole.
+    """
     blocks = [b for b in blocks_of(page) if not b.other]
     slots = [b for b in blocks if any((b.path, w) not in fixed for w in b.words)] if fixed else blocks
+    size = lambda part: sum(len(b.words) for b in part)
+    if size(slots) < (1 - TEMPLATE_SHARE) * size(blocks):
+        slots = blocks
     sizes: dict[int, int] = {}
     for b in slots:
         sizes[b.article] = sizes.get(b.article, 0) + sum(map(len, b.words))
@@ -273,7 +279,7 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", least_page
     """
     named = pages.select(F.struct("*").alias("_page"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
     found = templates(named.select("host", "html"), least_pages).where(F.size("words") > 0)
-    fixed = found.groupBy("host").agg(F.collect_list(F.struct("path", "words")).alias("fixed"))
+    fixed = found.groupBy("host").agg(F.collect_list("words").alias("fixed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {}
@@ -281,7 +287,7 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", least_page
             texts = []
             for host, text, known in zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in ("host", "html", "fixed")), strict=True):
                 if host not in at:
-                    at = {host: {(e["path"], w) for e in known or () for w in e["words"]}}
+                    at = {host: {(w["under"], w["word"]) for words in known or () for w in words}}
                 texts.append(_text(text or "", at[host]))
             yield with_columns(part.select(["_page"]), {"text": pa.array(texts, pa.string())})
 

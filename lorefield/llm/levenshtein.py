@@ -84,6 +84,8 @@ def build(terms: list[Term]) -> Automaton:
                     reach(other, left - 1)
         return closed(items)
 
+    if not terms:
+        return Automaton(letters, np.zeros((2, 1), np.int32), np.zeros(2, np.int8), np.full(2, -1))
     start = closed({root: key // 2 for key, root in roots.items()})
     numbers = {frozenset(): 0, start: 1}
     table: list[list[int]] = [[0] * (len(letters) + 1)]
