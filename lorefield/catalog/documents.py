@@ -12,7 +12,6 @@ from lorefield.functions import text as tx
 from lorefield.operators import chunks as ch
 from lorefield.operators import manifest as mf
 from lorefield.operators import vector as ve
-from lorefield.operators.skew import spread_small_input
 from lorefield.session import table
 
 QUERIES = {}
@@ -37,7 +36,7 @@ def query(sql: str | None = None):
         CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents"""
 )
 def doc_content_hash(spark, base):
-    return spread_small_input(src.documents(spark, base)).select(
+    return src.documents(spark, base).select(
         "doc_id",
         tx.content_hash(F.col("text")).alias("content_hash"),
         F.sha2(F.col("text"), 256).alias("raw_sha256"),
@@ -51,7 +50,7 @@ def doc_content_hash(spark, base):
         FROM documents"""
 )
 def doc_clean_text(spark, base):
-    return spread_small_input(src.documents(spark, base)).select("doc_id", tx.clean_text(F.col("text")).alias("clean_text"))
+    return src.documents(spark, base).select("doc_id", tx.clean_text(F.col("text")).alias("clean_text"))
 
 
 @query(
@@ -60,7 +59,7 @@ def doc_clean_text(spark, base):
         FROM (SELECT doc_id, text, {words('text')} AS w FROM documents)"""
 )
 def doc_snippet(spark, base):
-    return spread_small_input(src.documents(spark, base)).select(
+    return src.documents(spark, base).select(
         "doc_id", tx.word_count(F.col("text")).alias("word_count"), tx.snippet(F.col("text")).alias("snippet")
     )
 
@@ -88,7 +87,7 @@ def doc_token_estimates(spark, base):
         'doc-' || substr(sha256({norm('text')}), 1, 32) AS stable_id FROM documents"""
 )
 def doc_display_names(spark, base):
-    docs = spread_small_input(src.documents(spark, base, "doc_id", "text", "source", "lang"))
+    docs = src.documents(spark, base, "doc_id", "text", "source", "lang")
     title = F.when(F.col("lang") == "en", "  ").otherwise(F.col("source"))
     return docs.select(
         "doc_id",
@@ -173,7 +172,7 @@ FROM documents d SEMI JOIN uniq u ON d.doc_id = u.doc_id LEFT JOIN n ON n.doc_id
 )
 def manifest_listing(spark, base):
     """The flagship inventory: deduplicated documents with chunk counts, newest first."""
-    docs = spread_small_input(src.documents(spark, base, "doc_id", "text", "source", "lang"))
+    docs = src.documents(spark, base, "doc_id", "text", "source", "lang")
     hashed = docs.withColumn("content_hash", tx.content_hash(tx.py_strip(F.col("text"))))
     # The chunk count needs only the text in its own row, so the text itself is never shuffled.
     counted = hashed.select(
@@ -271,7 +270,7 @@ def doc_source_inventory(spark, base):
 
 @query(f"WITH {sentences('documents', 'doc_id', 'text')} SELECT doc_id, si, s, e FROM sents")
 def sentence_spans(spark, base):
-    docs = spread_small_input(src.documents(spark, base))
+    docs = src.documents(spark, base)
     spans = explode_rows(docs, st.sentence_spans(F.col("text")), "doc_id", pos="si", item="p")
     return spans.select("doc_id", (F.col("si") + 1).alias("si"), F.col("p.s").alias("s"), F.col("p.e").alias("e"))
 
@@ -287,7 +286,7 @@ SELECT w.doc_id, w.start, substr(d.text, w.start + 1, max(w.e) - w.start) AS win
 FROM walk w JOIN documents d USING (doc_id) GROUP BY w.doc_id, w.start, d.text"""
 )
 def sentence_windows(spark, base):
-    docs = spread_small_input(src.documents(spark, base))
+    docs = src.documents(spark, base)
     wins = explode_rows(docs, st.windows(F.col("text"), st.sentence_spans(F.col("text"))), "doc_id", item="w")
     return wins.select("doc_id", F.col("w.start").alias("start"), F.col("w.text").alias("window_text"))
 
@@ -311,7 +310,7 @@ SELECT p.doc_id, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY p.b, p.a
 FROM spans p JOIN sents t ON t.doc_id = p.doc_id AND t.si BETWEEN p.a AND p.b GROUP BY p.doc_id, p.a, p.b"""
 )
 def sentence_packed_chunks(spark, base):
-    docs = spread_small_input(src.documents(spark, base))
+    docs = src.documents(spark, base)
     return explode_rows(docs, st.packed_chunks(F.col("text")), "doc_id", pos="chunk_index", item="content")
 
 
@@ -320,12 +319,12 @@ def sentence_packed_chunks(spark, base):
 SELECT doc_id, chunk_index, {chunk_id()} AS chunk_id, content, token_count FROM chunks"""
 )
 def token_window_chunks(spark, base):
-    return ch.chunk_by_tokens(spread_small_input(src.documents(spark, base)))
+    return ch.chunk_by_tokens(src.documents(spark, base))
 
 
 @query()
 def cascade_chunks(spark, base):
-    return ch.chunk_by_cascade(spread_small_input(src.documents(spark, base)))
+    return ch.chunk_by_cascade(src.documents(spark, base))
 
 
 @query(
@@ -335,7 +334,7 @@ SELECT doc_id, chunk_index, char_count, content_hash FROM facts
 WHERE content_hash NOT IN (SELECT content_hash FROM facts WHERE doc_id IN (SELECT doc_id FROM labels))"""
 )
 def chunk_hash_skip(spark, base):
-    chunks = ch.with_chunk_facts(ch.chunk_by_tokens(spread_small_input(src.documents(spark, base))))
+    chunks = ch.with_chunk_facts(ch.chunk_by_tokens(src.documents(spark, base)))
     stored = chunks.join(table(spark, base, "labels", "doc_id"), "doc_id", "left_semi")
     light = chunks.select("doc_id", "chunk_index", "char_count", "content_hash")
     return ve.missing_chunks(light, stored)
@@ -347,5 +346,5 @@ SELECT d.doc_id, CAST(count(c.doc_id) AS INTEGER) AS chunk_count FROM documents
 )
 def doc_chunk_counts(spark, base):
     docs = src.documents(spark, base)
-    chunks = ch.chunk_by_tokens(spread_small_input(docs)).select("doc_id")
+    chunks = ch.chunk_by_tokens(docs).select("doc_id")
     return ch.chunk_counts(docs.select("doc_id"), chunks)

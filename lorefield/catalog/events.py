@@ -171,9 +171,10 @@ def stream_ingest_dedup(spark, base):
     apply_semantics(spark)
     schema = spark.read.parquet(f"{base}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", "64").parquet(base)
-    arrived = stream.select("doc_id", "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived_at"))
+    minutes = F.pmod(F.col("doc_id") * 7919, F.lit(100_003)) * 60
+    arrived = stream.select("doc_id", "text", F.timestamp_seconds(F.lit(1_704_067_200) + minutes).alias("arrived_at"))
     folder = shared_folder(spark, "ingest")
-    rows = si.run_to_end(si.hashed_stream(arrived).select("doc_id", "content_hash"), f"{folder}/table", f"{folder}/progress")
+    rows = si.run_to_end(si.hashed_stream(arrived).select("doc_id", "arrived_at", "content_hash", si.PART), f"{folder}/table", f"{folder}/progress")
     return rows.select("content_hash")
 
 

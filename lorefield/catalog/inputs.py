@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lorefield.operators import chunks as ch
 from lorefield.operators import extract as ex
 from lorefield.operators import manifest as mf
-from lorefield.operators.skew import spread_small_input
 from lorefield.functions.text import casefold, content_hash, py_strip
 from lorefield.session import apply_semantics, table
 
@@ -33,7 +32,7 @@ FILE_NAME_SQL = (
 
 def incoming(spark: SparkSession, base: str) -> DataFrame:
     """Every document as an upload, in doc_id order."""
-    docs = spread_small_input(documents(spark, base, "doc_id", "text", "lang", "source"))
+    docs = documents(spark, base, "doc_id", "text", "lang", "source")
     return docs.select(
         F.col("doc_id").alias("seq"), file_name().alias("file_name"), mf.source_type_of(file_name()).alias("source_type"), "text"
     )
@@ -95,7 +94,7 @@ def doc_status(spark: SparkSession, base: str) -> DataFrame:
 
 def unique_documents(spark: SparkSession, base: str) -> DataFrame:
     """First document of every content hash, texts included. Only ids and hashes are aggregated."""
-    docs = spread_small_input(documents(spark, base))
+    docs = documents(spark, base)
     hashed = docs.select("doc_id", content_hash(py_strip(F.col("text"))).alias("content_hash"))
     firsts = hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(firsts, "doc_id", "left_semi")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lorefield.catalog.sqlparts import WS, lit, strip, words
 from lorefield.functions import urls, web
 from lorefield.functions.article import article_markdown_udf
-from lorefield.operators.skew import spread_small_input
 from lorefield.sources import web as sw
 from lorefield.session import apply_semantics, table
 
@@ -28,7 +27,7 @@ def query(sql: str | None = None):
 def _pages(spark, base, *columns):
     apply_semantics(spark)
     pages = table(spark, base, "pages", *(columns or ("page_id", "url", "html")))
-    return spread_small_input(pages) if "html" in pages.columns else pages
+    return pages if "html" in pages.columns else pages
 
 
 _CANON = r"""regexp_replace(regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') || coalesce('?' || nullif(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), ''), '^$', '')"""

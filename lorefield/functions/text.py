@@ -90,22 +90,22 @@ def clean_name(name: Column) -> Column:
     return F.btrim(F.regexp_replace(name, f"{WS}+", " "), F.lit(NAME_EDGE_CHARS))
 
 
-def _fold_table() -> tuple[str, str]:
-    """Lower-case letters whose caseless form is another single letter, derived from Unicode data."""
-    pairs = [
-        (char, char.casefold())
-        for char in map(chr, range(0x80, 0x10000))
-        if char.lower() == char and char.casefold() != char and len(char.casefold()) == 1
-    ]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """Lower-case letters whose caseless form differs, derived from Unicode data: to one letter, and to several."""
+    folded = [(c, c.casefold()) for c in map(chr, range(0x80, 0x110000)) if c.lower() == c and c.casefold() != c]
+    single = [(a, b) for a, b in folded if len(b) == 1]
+    return "".join(a for a, _ in single), "".join(b for _, b in single), [(a, b) for a, b in folded if len(b) > 1]
 
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+_FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_tables()
 
 
 def casefold(text: Column) -> Column:
-    """Caseless key: lower case, the single-letter folds, and sharp s. Rarer expanding letters keep lower case."""
-    return F.replace(F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO), F.lit("ß"), F.lit("ss"))
+    """Caseless key: lower case, then the single-letter folds, and the expanding ones where a text has such letters."""
+    single = F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO)
+    longer = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FOLD_LONGER))
+    letters = "[" + "".join(a for a, _ in _FOLD_LONGER) + "]"
+    return F.when(single.rlike(letters), F.aggregate(longer, single, lambda t, x: F.replace(t, x["a"], x["b"]))).otherwise(single)
 
 
 def substring_span(text: Column, start: Column, end: Column) -> Column:

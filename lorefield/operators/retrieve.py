@@ -156,7 +156,7 @@ def knowledge_within_budget(ranked: DataFrame, budget: int, text: str, order: li
     possible = ranked.withColumn("place", place).where(F.col("place") <= budget)
     upto = Window.partitionBy(query_id).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        possible.withColumn("tokens", count_tokens(F.col(text)) + 1)
+        possible.withColumn("tokens", F.coalesce(count_tokens(F.col(text)), F.lit(0)) + 1)
         .withColumn("tokens_used", F.sum("tokens").over(upto))
         .where(F.col("tokens_used") <= budget)
     )

@@ -5,46 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 4096
-SALTS = 64
-
+from lorefield.session import checkpointed
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer files than there are cores; large inputs are left alone."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+HOT_ROWS = 1_000_000
 
 
 def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    weight: str,
-    spread_by: str,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread_by: str, how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Join rows to a table with one row per key, splitting the rows of hot keys over `salts` tasks.
+    """Join rows to a table with one row per key, splitting each key's rows over as many tasks as its weight asks for.
 
-    `weight` is the lookup column with the key's row count. At most MAX_HOT_KEYS of the heaviest keys are hot,
-    so the broadcast list is bounded; every other key keeps salt 0. The salt comes from `spread_by`, a column of
-    the rows, and is therefore the same when a lost task runs again.
+    `weight` is the lookup column with the key's row count: a key of n rows gets n / `hot_rows` salts, rounded up, so
+    no task has many more than `hot_rows` rows of it. The lookup is stored, so it is computed once and the planner sees
+    its size. The salt comes from `spread_by`, a column of the rows, and is therefore the same when a lost task runs again.
     """
-    hot = (
-        lookup.where(F.col(weight) > hot_rows)
-        .orderBy(F.desc(weight), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies))
-    joined = salted_rows.drop("_hot").join(salted_lookup.drop("_hot"), [key, "_salt"], how)
-    return joined.drop("_salt")
+    stored = checkpointed(lookup.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col(weight) / hot_rows)).cast("int")))
+    hot = stored.where(F.col("_salts") > 1).select(key, "_salts")
+    spread = F.pmod(F.xxhash64(spread_by), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted_rows = rows.join(hot, key, "left").withColumn("_salt", spread).drop("_salts")
+    salted_lookup = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return salted_rows.join(salted_lookup, [key, "_salt"], how).drop("_salt")
 
 
 def running(

@@ -45,7 +45,7 @@ def test_hot_hash_is_salted_and_whole(spark, monkeypatch):
     prepared = mf.prepare(rows)
     light = prepared.select("seq", "content_hash")
     lookup = light.groupBy("content_hash").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = skew.lookup_join(light, lookup, "content_hash", "n", "seq", hot_rows=100, salts=8)
+    joined = skew.lookup_join(light, lookup, "content_hash", "n", "seq", hot_rows=100)
     plain = light.join(lookup, "content_hash")
     assert joined.count() == 3000
     assert joined.select("seq", "first").exceptAll(plain.select("seq", "first")).count() == 0

@@ -82,14 +82,24 @@ def test_ingest_stream_over_restarts(spark):
     for part in ([(1, "a  b", START), (2, "a b ", START), (3, " ", START)], [(4, "a b", START), (5, "c", START)]):
         spark.createDataFrame(part, cols).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(cols).parquet(f"{folder}/in")
-        out = si.run_to_end(si.hashed_stream(stream).select("doc_id", "content_hash"), f"{folder}/out", f"{folder}/progress")
+        out = si.run_to_end(si.hashed_stream(stream).select("doc_id", "content_hash", si.PART), f"{folder}/out", f"{folder}/progress")
     rows = out.collect()
     assert len(rows) == 2 and 5 in {r.doc_id for r in rows}
     # A lost progress folder replays everything and still adds nothing.
-    again = si.run_to_end(si.hashed_stream(spark.readStream.schema(cols).parquet(f"{folder}/in")).select("doc_id", "content_hash"), f"{folder}/out", f"{folder}/progress2")
+    again = si.run_to_end(si.hashed_stream(spark.readStream.schema(cols).parquet(f"{folder}/in")).select("doc_id", "content_hash", si.PART), f"{folder}/out", f"{folder}/progress2")
     assert again.count() == 2
 
 
+def test_ingest_stream_keeps_late_documents(spark):
+    folder = shared_folder(spark, "ingest")
+    cols = "doc_id long, text string, arrived_at timestamp"
+    for part in ([(1, "new", START)], [(2, "newer", START + dt.timedelta(days=9))], [(3, "late and never seen", START - dt.timedelta(days=400)), (4, "new", START)]):
+        spark.createDataFrame(part, cols).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = si.hashed_stream(spark.readStream.schema(cols).parquet(f"{folder}/in")).select("doc_id", "content_hash", si.PART)
+        out = si.run_to_end(stream, f"{folder}/out", f"{folder}/progress")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
+
+
 def test_answer_grammar_and_frames(spark):
     cols = "id int, references array<struct<reference_id:string,file_path:string>>, chunks array<string>, failure string, failed_at int"
     rows = [(1, [("1", "f")], ["He", "", "y é"], None, None), (2, None, ["x"], "boom", None), (3, None, ["x", "y"], "late", 1), (4, None, None, None, None)]
