@@ -2,8 +2,8 @@
 
 1. Each text becomes its set of word shingles and a MinHash signature; texts with the same set are one class.
 2. Classes that share a band meet in a bucket. Small buckets give all their pairs. In a large one a few pivots meet all
-   members; after each round, members outside the bucket's largest linked part become pivots until all of them have been
-   one or the bucket is linked. No pair of a bucket goes unseen unless its two sides are already linked.
+   members; then the members outside the bucket's largest linked part meet all others, block against block inside a
+   task, which hands on only the links it finds. No pair of a bucket goes unseen unless its sides are already linked.
 3. Signatures of a pair are compared batch by batch, and the pair is given up as soon as the posterior probability of
    the wanted similarity falls below the chosen miss probability. Survivors are compared on their full shingle sets.
 4. Linked classes form components.
@@ -34,7 +34,8 @@ COMPARE_BATCH = 16
 MISS_PROBABILITY = 1e-6
 SMALL_BUCKET = 6
 RANDOM_PIVOTS = 2
-PIVOTS_PER_ROUND = 64
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 20
 LAST_ID = (1 << 63) - 1
 
 _SEEDS = np.random.default_rng(19991)
@@ -187,13 +188,6 @@ def _pairs_of_small(members: DataFrame) -> DataFrame:
     return tails.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
 
 
-def _meet(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Ordered pairs of pivots with the members of their bucket that are not known to be linked to them."""
-    other = F.col("label").isNull() | (F.col("label") != F.col("pivot_label"))
-    met = members.join(pivots, "bucket").where((F.col("cls") != F.col("pivot")) & other)
-    return met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
-
-
 def _first_pivots(members: DataFrame) -> DataFrame:
     """Per large bucket the member that meets most others in all its buckets, and a few chosen by hash."""
     met = members.groupBy("cls").agg(F.sum("size").alias("weight"))
@@ -205,55 +199,95 @@ def _first_pivots(members: DataFrame) -> DataFrame:
     return wide.select("bucket", F.explode(names).alias("pivot"))
 
 
-def _open_buckets(large: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labelled members of buckets that are not linked yet, and the members there that still have to be pivots."""
-    labelled = large.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "bucket", "cls", F.coalesce("component", "cls").alias("label")
-    )
-    parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("bucket", F.col("top.label").alias("main"))
-    unlinked = checkpointed(labelled.join(main, "bucket"))
-    waiting = unlinked.where("label <> main").join(done.withColumnRenamed("pivot", "cls"), ["bucket", "cls"], "left_anti")
-    return unlinked, checkpointed(waiting)
-
-
-def _chosen(waiting: DataFrame, number: int) -> DataFrame:
-    """About PIVOTS_PER_ROUND of each bucket's waiting members by hash, the one with the least hash in any case."""
-    mark = F.pmod(F.xxhash64("cls", F.lit(number), F.lit("pivot")), F.lit(1 << 20))
-    counts = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(mark.alias("m"), "cls"))["cls"].alias("least"))
-    chosen = waiting.join(counts, "bucket").where((mark * F.col("n") < (PIVOTS_PER_ROUND << 20)) | (F.col("cls") == F.col("least")))
-    return chosen.select("bucket", F.col("cls").alias("pivot"), F.col("label").alias("pivot_label"))
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, texts, size: int, parts: tuple[int, int], miss: float, links: DataFrame | None):
-    """Links among candidate pairs, and the survivors of the signature comparison that were not compared in full.
-
-    Full comparison starts with each class's most similar partner. What these links join already needs no further
-    comparison; the other survivors are compared as well.
-    """
+def _likely(pairs: DataFrame, reps: DataFrame, parts: tuple[int, int], miss: float) -> DataFrame:
+    """Candidate pairs that the comparison of their signatures leaves, with their number of equal hashes."""
     signed = reps.select("cls", "n_shingles", "signature")
     sides = pairs.join(signed.toDF("a", "na", "sig_a"), "a").join(signed.toDF("b", "nb", "sig_b"), "b")
-    likely = sides.where(parts[1] * F.least("na", "nb") >= parts[0] * F.greatest("na", "nb")).select("a", "b", "sig_a", "sig_b")
-    survivors = checkpointed(likely.mapInArrow(_survivors(parts, miss), "a long, b long, matches long"))
-    if survivors.isEmpty():
-        return links
-    ends = survivors.select(F.col("a").alias("id"), "*").unionByName(survivors.select(F.col("b").alias("id"), "*"))
-    best = ends.groupBy("id").agg(F.max(F.struct("matches", -F.least("a", "b"), -F.greatest("a", "b"), "a", "b")).alias("p"))
-    tree = checkpointed(best.select("p.a", "p.b").distinct())
-    involved = checkpointed(texts(ends.select(F.col("id").alias("cls")).distinct()))
+    sized = sides.where(parts[1] * F.least("na", "nb") >= parts[0] * F.greatest("na", "nb")).select("a", "b", "sig_a", "sig_b")
+    return sized.mapInArrow(_survivors(parts, miss), "a long, b long, matches long")
 
-    def compared(chosen: DataFrame) -> DataFrame:
-        both = chosen.join(involved.toDF("a", "text_a"), "a").join(involved.toDF("b", "text_b"), "b")
-        return checkpointed(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(size, parts), "a long, b long"))
 
-    found = compared(tree)
-    links = found if links is None else links.unionByName(found)
-    labels = connected_components(links.toDF("src", "dst"))
-    rest = survivors.select("a", "b").join(tree, ["a", "b"], "left_anti")
-    rest = rest.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-    rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    return links.unionByName(compared(rest))
+def _tree(survivors: DataFrame) -> DataFrame:
+    """Each class's most similar partner, as pairs: a forest that mostly suffices to link what is linked."""
+    ends = survivors.select(F.col("a").alias("id"), "*").unionByName(survivors.select(F.col("b").alias("id"), "*"))
+    best = ends.groupBy("id").agg(F.max(F.struct("matches", -F.col("a"), -F.col("b"))).alias("p"))
+    return best.select((-F.col("p.col2")).alias("a"), (-F.col("p.col3")).alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, parts: tuple[int, int]) -> DataFrame:
+    """The pairs that are links on their full sets."""
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(size, parts), "a long, b long")
+
+
+def _blocks(large: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (bucket, left, right, side, cls, label) that bring the members outside a bucket's main part (side 0) together with
+    all its members (side 1), a bounded block of each at a time."""
+    labelled = large.join(labels.toDF("cls", "component"), "cls", "left").join(reps.select("cls", "n_shingles"), "cls")
+    labelled = labelled.select("bucket", "cls", "n_shingles", F.coalesce("component", "cls").alias("label"))
+    parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    totals = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    count = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    lefts = count(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("lefts")
+    open_ = totals.where(F.col("n") > F.col("main.n")).select("bucket", F.col("main.label").alias("main"), lefts, count(F.col("n"), F.col("size")).alias("rights"))
+    rows = checkpointed(labelled.join(open_, "bucket"))
+    place = lambda n: F.pmod(F.xxhash64("cls", F.lit("block")), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("label <> main").select("bucket", place(F.col("lefts")).alias("left"), every(F.col("rights")).alias("right"), F.lit(0).alias("side"), "cls", "label")
+    right = rows.select("bucket", every(F.col("lefts")).alias("left"), place(F.col("rights")).alias("right"), F.lit(1).alias("side"), "cls", "label")
+    return left.unionByName(right)
+
+
+def _compare_blocks(size: int, parts: tuple[int, int], miss: float):
+    """Links between the two sides of a group. A pair is compared only in the first bucket that it shares, and not when its
+    sides are linked already."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows = table.to_batches()[0] if table.num_rows else None
+        least = least_matches(parts[0] / parts[1], miss)
+        side, cls, label = (table.column(n).to_numpy() for n in ("side", "cls", "label"))
+        bucket = table.column("bucket")[0].as_py()
+        hashes, bounds = shingle_sets(rows.column(rows.schema.get_field_index("text")), size)
+        sizes = np.diff(bounds)
+        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        parent = {int(x): int(x) for x in label}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found: list[tuple[int, int]] = []
+        others = np.flatnonzero(side == 1)
+        main = ~np.isin(cls, cls[side == 0])
+        for i in np.flatnonzero(side == 0).tolist():
+            same = bands[others] == bands[i]
+            first = bands[i][same.argmax(1)] == bucket
+            fits = parts[1] * np.minimum(sizes[others], sizes[i]) >= parts[0] * np.maximum(sizes[others], sizes[i])
+            live = others[first & fits & (label[others] != label[i]) & (main[others] | (cls[others] > cls[i]))]
+            matches = np.zeros(len(live), np.int64)
+            for at in range(0, HASHES, COMPARE_BATCH):
+                matches += (sign[live, at : at + COMPARE_BATCH] == sign[i, at : at + COMPARE_BATCH]).sum(1)
+                kept = matches >= least[at + COMPARE_BATCH]
+                live, matches = live[kept], matches[kept]
+            mine = hashes[bounds[i] : bounds[i + 1]]
+            for j in live[np.argsort(-matches, kind="stable")].tolist():
+                a, b = root(int(label[i])), root(int(label[j]))
+                if a == b:
+                    continue
+                theirs = hashes[bounds[j] : bounds[j + 1]]
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                shared = int((mine[at] == theirs).sum())
+                if parts[1] * shared >= parts[0] * (len(mine) + len(theirs) - shared):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(cls[i]), int(cls[j])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(
@@ -282,32 +316,25 @@ def near_duplicates(
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = checkpointed(placed.join(shared, "bucket"))
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        return _texts_of(given, reps.join(wanted, "cls", "left_semi"), shingle)
-
-    bare = members.where(F.col("size") > SMALL_BUCKET)
-    pivots = checkpointed(_first_pivots(members))
-    met = _meet(bare.withColumn("label", F.lit(None).cast("long")), pivots.withColumn("pivot_label", F.lit(None).cast("long")))
-    pairs = _pairs_of_small(members).unionByName(met).distinct()
-    links = _verified(pairs, reps, texts, shingle, parts, miss, None)
-    labels = connected_components(links.toDF("src", "dst")) if links is not None else None
-    done, number = pivots, 0
-    while labels is not None or number == 0:
-        known = labels if labels is not None else sets.limit(0).select(F.col("cls").alias("id"), F.col("cls").alias("component"))
-        unlinked, waiting = _open_buckets(bare, known, done)
-        if waiting.isEmpty():
-            break
-        number += 1
-        chosen = checkpointed(_chosen(waiting, number))
-        links = _verified(_meet(unlinked, chosen).distinct(), reps, texts, shingle, parts, miss, links)
-        labels = connected_components(links.toDF("src", "dst")) if links is not None else None
-        done = done.unionByName(chosen.select("bucket", "pivot"))
+    large = members.where(F.col("size") > SMALL_BUCKET).select("bucket", "cls")
+    met = large.join(_first_pivots(members), "bucket").where(F.col("cls") != F.col("pivot"))
+    pairs = _pairs_of_small(members).unionByName(met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))).distinct()
+    survivors = checkpointed(_likely(pairs, reps, parts, miss))
+    wanted = survivors.select(F.col("a").alias("cls")).unionByName(survivors.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct()
+    texts = checkpointed(_texts_of(given, reps.join(wanted, "cls", "left_semi"), shingle))
+
+    tree = checkpointed(_tree(survivors))
+    links = checkpointed(_confirmed(tree, texts, shingle, parts))
+    labels = connected_components(links.toDF("src", "dst"))
+    rest = survivors.select("a", "b").join(tree, ["a", "b"], "left_anti").join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    more = checkpointed(_confirmed(rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), texts, shingle, parts))
+    payload = reps.select("cls", "bands", "signature").join(texts, "cls")
+    groups = _blocks(large, labels, reps).join(payload, "cls").groupBy("bucket", "left", "right")
+    last = checkpointed(groups.applyInArrow(_compare_blocks(shingle, parts, miss), "a long, b long"))
+    labels = connected_components(links.unionByName(more).unionByName(last).toDF("src", "dst"))
 
     grouped = sets.select("s1", "s2", "cls", "doc")
-    if labels is not None:
-        grouped = grouped.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    else:
-        grouped = grouped.withColumn("component", F.col("cls"))
+    grouped = grouped.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     tops = grouped.groupBy("component").agg(F.min(F.struct("doc", "cls")).alias("top"))
     named = grouped.join(tops, "component").select("s1", "s2", F.col("top.doc").alias("top_doc"), F.col("top.cls").alias("top_row"))
     rows = signed.select("row", "doc", "n_shingles", "s1", "s2")
