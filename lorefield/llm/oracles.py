@@ -27,4 +27,53 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)
 """
 
-ORACLES = {"op6_exact_dedup": OP6, "op2_line_dedup": OP2}
+WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+SHINGLE = 4
+OP3 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(ws) - {SHINGLE} + 2)), lambda i: array_to_string(ws[i:i + {SHINGLE} - 1], ' '))) AS sh
+  FROM w WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), ends AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM w UNION SELECT ends.b, reach.c FROM reach JOIN ends ON ends.a = reach.doc_id
+), low AS (
+  SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM low LEFT JOIN n USING (doc_id)
+"""
+
+ITEM_WORDS = "regexp_extract_all({0}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+OP8 = f"""
+WITH d AS (
+  SELECT doc_id, {ITEM_WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents
+), i AS (
+  SELECT item_id, {ITEM_WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS size, unnest(list_transform(range(1, greatest(2, len(ws) - 8)), lambda k: array_to_string(ws[k:k + 9], ' '))) AS phrase
+  FROM i WHERE len(ws) > 0
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS pos, ws FROM d, sizes WHERE len(ws) >= size
+), found AS (
+  SELECT doc_id, pos, p.size, item_id FROM places p JOIN windows v ON p.size = v.size AND array_to_string(ws[pos:pos + p.size - 1], ' ') = phrase
+), hits AS (
+  SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS w FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES = {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op6_exact_dedup": OP6, "op8_decontaminate": OP8}
