@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,36 +70,88 @@ def with_chunk_facts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _pack(pieces: Sequence[str], sep: str, split_more: Callable[[str], list[str]], size: int, overlap: int, cost: Callable[[str], int]) -> Iterator[str]:
-    """Join consecutive pieces up to `size` tokens; a new chunk reopens with the tail that fits in `overlap`."""
-    sep_cost = cost(sep) if sep else 0
-    held: list[tuple[str, int]] = []
-    used = 0
-
-    def tail() -> tuple[list[tuple[str, int]], int]:
-        total, first = 0, len(held)
-        while first > 0:
-            step = held[first - 1][1] + (sep_cost if first < len(held) else 0)
-            if total + step > overlap:
-                break
-            total, first = total + step, first - 1
-        return held[first:], total
-
-    for piece in pieces:
-        weight = cost(piece)
-        if weight > size:
-            if held:
-                yield sep.join(p for p, _ in held)
-                held, used = tail()
-            yield from split_more(piece)
+def _quarter(start: int, end: int) -> int:
+    """Tokens of a span when no tokenizer is at hand."""
+    return (end - start) // 4
+
+
+def _last_within(measure: Callable[[int, int], int], start: int, end: int, limit: int) -> int:
+    """Largest place up to `end` at which the span from `start` still fits the limit, at least one character on."""
+    low, step = start + 1, 1
+    while low + step <= end and measure(start, low + step) <= limit:
+        low, step = low + step, step * 2
+    high = min(end, low + step)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if measure(start, middle) <= limit else (low, middle - 1)
+    return low
+
+
+def cascade_spans(
+    text: str,
+    size: int = CASCADE_TOKENS,
+    overlap: int = CASCADE_OVERLAP_TOKENS,
+    separators: Sequence[str] = CASCADE_SEPARATORS,
+    measure: Callable[[int, int], int] = _quarter,
+) -> list[tuple[int, int]]:
+    """Chunks of a text as spans, none over `size` tokens.
+
+    The text is one region. A region is divided at its coarsest separator, and its pieces are joined while the span from
+    the first to the last of them fits; the next chunk begins as many whole pieces earlier as `overlap` allows. A piece
+    that does not fit is a region of its own, divided at finer separators, and cut by width where it has none. Chunks
+    come in text order. `measure` gives the tokens of a span and must not fall when the span grows; with the default
+    every separator passes over the text once.
+    """
+    finer = [s for s in separators if s]
+    out: list[tuple[int, int]] = []
+    regions = [(0, len(text), 0)]
+    while regions:
+        start, end, level = regions.pop()
+        if start == end or measure(start, end) <= size:
+            out += [(start, end)] if start < end else []
+            continue
+        while level < len(finer) and text.find(finer[level], start, end) < 0:
+            level += 1
+        if level == len(finer):
+            while True:
+                stop = _last_within(measure, start, end, size)
+                out.append((start, stop))
+                if stop == end:
+                    break
+                back = stop - 1
+                while back > start + 1 and measure(back - 1, stop) <= overlap:
+                    back -= 1
+                start = back if overlap and measure(back, stop) <= overlap else stop
             continue
-        if used + weight + (sep_cost if held else 0) > size:
-            yield sep.join(p for p, _ in held)
-            held, used = tail()
-        used += weight + (sep_cost if held else 0)
-        held = [*held, (piece, weight)]
-    if held:
-        yield sep.join(p for p, _ in held)
+        later = _join_pieces(text, start, end, finer[level], size, overlap, measure, out)
+        if later is not None:
+            piece_start, piece_end = later
+            regions.append((min(end, piece_end + len(finer[level])), end, level))
+            regions.append((piece_start, piece_end, level + 1))
+    return out
+
+
+def _join_pieces(text, start, end, separator, size, overlap, measure, out) -> tuple[int, int] | None:
+    """Append the chunks of a region up to its first piece that does not fit, and return that piece."""
+    held: deque[tuple[int, int]] = deque()
+    at = start
+    while at <= end:
+        stop = text.find(separator, at, end)
+        stop = end if stop < 0 else stop
+        if measure(at, stop) > size:
+            if held and held[-1][1] > held[0][0]:
+                out.append((held[0][0], held[-1][1]))
+            return at, stop
+        if held and measure(held[0][0], stop) > size:
+            last = held[-1][1]
+            out.append((held[0][0], last))
+            while held and (measure(held[0][0], last) > overlap or measure(held[0][0], stop) > size):
+                held.popleft()
+        held.append((at, stop))
+        at = stop + len(separator)
+    if held and held[-1][1] > held[0][0]:
+        out.append((held[0][0], held[-1][1]))
+    return None
 
 
 def cascade_split(
@@ -106,22 +159,11 @@ def cascade_split(
     size: int = CASCADE_TOKENS,
     overlap: int = CASCADE_OVERLAP_TOKENS,
     separators: Sequence[str] = CASCADE_SEPARATORS,
-    cost: Callable[[str], int] = lambda s: len(s) // 4,
+    cost: Callable[[str], int] | None = None,
 ) -> list[str]:
-    """Chunks of one text: split at the coarsest separator, and go finer only where a piece is too big."""
-
-    def cut(piece: str, sep: str) -> list[str]:
-        return piece.split(sep) if sep else list(piece)
-
-    def finer(piece: str) -> list[str]:
-        for sep in separators:
-            parts = cut(piece, sep)
-            if len(parts) > 1:
-                return list(_pack(parts, sep, finer, size, overlap, cost))
-        width = size * 4
-        return [piece[i : i + width] for i in range(0, len(piece), width - overlap * 4)]
-
-    return list(_pack(cut(text, separators[0]), separators[0], finer, size, overlap, cost))
+    """Texts of the spans; `cost` counts the tokens of a string."""
+    measure = _quarter if cost is None else lambda start, end: cost(text[start:end])
+    return [text[start:end] for start, end in cascade_spans(text, size, overlap, separators, measure)]
 
 
 def cascade_chunks_udf(
@@ -135,8 +177,7 @@ def cascade_chunks_udf(
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def chunks(texts: pd.Series) -> pd.Series:
-        extra = {"cost": cost} if cost else {}
-        return texts.map(lambda t: [] if t is None else cascade_split(t, size, overlap, separators, **extra))
+        return pd.Series([cascade_split(t, size, overlap, separators, cost) if t else [] for t in texts])
 
     return chunks
 

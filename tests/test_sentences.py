@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -103,24 +104,26 @@ def test_cascade_goes_finer_only_where_needed(spark):
     assert [r.content for r in rows] == got
 
 
-def test_cascade_without_fallback_separator_cuts_by_width():
+def test_cascade_without_separators_cuts_by_width():
     got = ch.cascade_split("x" * 100, size=5, overlap=1, separators=["\n"])
-    assert got[0] == "x" * 20 and got[1] == "x" * 20 and len(got) == 7
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abc.!?;, \n", max_size=400), st.integers(3, 12), st.integers(0, 2))
-def test_cascade_chunks_are_pieces_of_the_text_and_lose_nothing(text, size, overlap):
-    cost = lambda s: len(s.split())
-    got = ch.cascade_split(text, size, overlap, cost=cost)
-    at = 0
-    for chunk in got:
-        assert chunk in text
-        # Chunks come in order; each starts at or before the end of what is covered so far.
-    words = text.replace(".", " ").replace("!", " ").replace("?", " ").replace(";", " ").replace(",", " ").split()
-    seen = " ".join(got).replace(".", " ").replace("!", " ").replace("?", " ").replace(";", " ").replace(",", " ").split()
-    for word in words:
-        while at < len(seen) and seen[at] != word:
-            at += 1
-        assert at < len(seen)
-        at += 1
+    assert [len(c) for c in got] == [23, 23, 23, 23, 23, 20]
+    assert "".join(c[7 if i else 0 :] for i, c in enumerate(got)) == "x" * 100
+
+
+def test_cascade_keeps_its_limit_on_long_texts():
+    for text in ("abc " * 20000, "x" * 1_000_000, ("word " * 700 + "\n\n") * 50, "a. " * 3000 + "y" * 9000 + " tail"):
+        began = time.perf_counter()
+        spans = ch.cascade_spans(text)
+        assert time.perf_counter() - began < 1.5
+        assert all((b - a) // 4 <= ch.CASCADE_TOKENS for a, b in spans)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc.!?;, \n", max_size=400), st.integers(1, 12), st.integers(0, 3))
+def test_cascade_spans_cover_the_text_in_order(text, size, overlap):
+    spans = ch.cascade_spans(text, size, min(overlap, size - 1))
+    assert all((b - a) // 4 <= size and a < b for a, b in spans)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(spans, spans[1:]))
+    covered = {i for a, b in spans for i in range(a, b)}
+    assert all(c in ".!?;, \n" for i, c in enumerate(text) if i not in covered)
+    assert all((x[1] - y[0]) // 4 <= overlap for x, y in zip(spans, spans[1:]) if y[0] < x[1])
