@@ -98,29 +98,27 @@ def related_by_entity(hits: DataFrame, mentions: DataFrame, chunks: DataFrame, l
 
     `hits`: (chunk_id, ...); `mentions`: (key, chunk_id); `chunks`: (chunk_id, content). Hits without entities stay,
     with an empty list. Per entity only the smallest `limit` + 1 texts can ever be shown (one may be the hit's own),
-    so no more are kept and a very common entity costs no more than a rare one.
+    so no more are kept and a very common entity costs no more than a rare one. Texts are sorted once and joined last.
     """
-    wanted = mentions.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select("key").distinct()
-    named = mentions.select("key", "chunk_id").distinct().join(wanted, "key", "left_semi")
-    texts = (
-        named.join(chunks.select("chunk_id", "content"), "chunk_id")
-        .groupBy("key", "content")
-        .agg(F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi"))
-    )
-    smallest = texts.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("content"))).where(
-        F.col("r") <= limit + 1
-    )
-    own = mentions.select("key", "chunk_id").distinct().join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    per_key = smallest.groupBy("key").agg(F.collect_list(F.struct("content", "lo", "hi")).alias("few"))
-    lookup = per_key.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    named = mentions.select("key", "chunk_id").distinct()
+    own = checkpointed(named.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    wanted = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hashed = chunks.select("chunk_id", F.sha2("content", 256).alias("text_hash"))
+    holders = hashed.groupBy("text_hash").agg(F.min("chunk_id").alias("holder"))
+    # Sorting the distinct texts once numbers them in text order; all joins below carry numbers only.
+    sorted_texts = chunks.select("chunk_id", "content").join(holders, F.col("chunk_id") == F.col("holder"), "left_semi").orderBy("content")
+    texts = checkpointed(sorted_texts.select(F.monotonically_increasing_id().alias("text_no"), "chunk_id", "content"))
+    numbers = hashed.join(holders, "text_hash").join(texts.select(F.col("chunk_id").alias("holder"), "text_no"), "holder").select("chunk_id", "text_no")
+    places = named.join(wanted.select("key"), "key", "left_semi").join(numbers, "chunk_id")
+    per_text = places.groupBy("key", "text_no").agg(F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi"))
+    smallest = per_text.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("text_no"))).where(F.col("r") <= limit + 1)
+    lookup = smallest.groupBy("key").agg(F.collect_list(F.struct("text_no", "lo", "hi")).alias("few")).join(wanted, "key")
     candidates = lookup_join(own, lookup, "key", "n", "chunk_id", how="inner").select("chunk_id", F.explode("few").alias("t"))
     only_itself = (F.col("t.lo") == F.col("chunk_id")) & (F.col("t.hi") == F.col("chunk_id"))
-    lists = (
-        candidates.where(~only_itself)
-        .groupBy("chunk_id")
-        # At most (entities of one chunk) x (limit + 1) texts.
-        .agg(F.slice(F.array_sort(F.collect_set("t.content")), 1, limit).alias("related_context"))
-    )
+    # At most (entities of one chunk) x (limit + 1) numbers.
+    few = candidates.where(~only_itself).groupBy("chunk_id").agg(F.slice(F.array_sort(F.collect_set("t.text_no")), 1, limit).alias("few"))
+    shown = few.select("chunk_id", F.explode("few").alias("text_no")).join(texts.select("text_no", "content"), "text_no")
+    lists = shown.groupBy("chunk_id").agg(F.array_sort(F.collect_list("content")).alias("related_context"))
     return hits.join(lists, "chunk_id", "left").withColumn(
         "related_context", F.coalesce("related_context", F.expr("cast(array() as array<string>)"))
     )
