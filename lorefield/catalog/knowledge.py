@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorefield.catalog import inputs as src
-from lorefield.catalog.sqlparts import chunk_id, extraction, sentences, text_graph, token_chunks, unique_docs, words
+from lorefield.catalog.sqlparts import chunk_id, extraction, norm, sentences, strip, text_graph, token_chunks, unique_docs, words
 from lorefield.functions import sentences as st
 from lorefield.functions import text as tx
 from lorefield.operators import extract as ex
@@ -13,7 +13,8 @@ from lorefield.operators import graph as gr
 from lorefield.operators import retrieve as rt
 from lorefield.operators import vector as ve
 from lorefield.plans import ask
-from lorefield.session import checkpointed, table
+from lorefield.plans.store import Store, add_batch, remove_documents
+from lorefield.session import checkpointed, shared_folder, table
 
 QUERIES = {}
 ORACLES = {}
@@ -301,3 +302,36 @@ def hybrid_knowledge_budget(spark, base):
     return shown.select(F.lit("entity").alias("part"), "query_id", F.col("key").alias("name"), F.lit("").alias("target"), "tokens_used").unionByName(
         rels.select(F.lit("relation").alias("part"), "query_id", F.col("src").alias("name"), F.col("dst").alias("target"), "tokens_used")
     )
+
+
+@query(
+    f"""{text_graph()},
+bad AS (SELECT DISTINCT sha256({norm(strip('text'))}) AS h FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+gone AS (SELECT doc_id FROM uniq WHERE sha256({norm(strip('text'))}) IN (SELECT h FROM bad)),
+e AS (SELECT * FROM ents WHERE doc_id NOT IN (SELECT doc_id FROM gone)),
+r AS (SELECT * FROM rels WHERE doc_id NOT IN (SELECT doc_id FROM gone)),
+tcount AS (SELECT key, type, count(*) AS n FROM e GROUP BY ALL)
+SELECT 'entity' AS part, key AS a, arg_min(type, (-n, type)) AS b, CAST(sum(n) AS DOUBLE) AS n FROM tcount GROUP BY key
+UNION ALL
+SELECT 'edge', least(source_key, target_key), greatest(source_key, target_key), CAST(count(*) AS DOUBLE) FROM r WHERE source_key <> target_key GROUP BY ALL
+UNION ALL
+SELECT 'document', sha256({norm(strip('text'))}), NULL, 1.0 FROM uniq WHERE doc_id NOT IN (SELECT doc_id FROM gone) AND {strip('text')} <> ''"""
+)
+def kb_life_cycle(spark, base):
+    """All documents in two batches, the second one twice, then the toxic ones deleted: what the stored base holds."""
+    docs = src.incoming(spark, base).withColumn("file_name", F.concat_ws("-", "seq", "file_name"))
+    english = table(spark, base, "documents", "doc_id", "lang").where("lang = 'en'").select(F.col("doc_id").alias("seq"))
+    batches = [docs.join(english, "seq", "left_semi"), docs.join(english, "seq", "left_anti")]
+    base_tables = Store(spark, shared_folder(spark, "base"))
+    when = F.lit(src.BASE_TIME).cast("timestamp")
+    for batch in (batches[0], batches[1], batches[1]):
+        add_batch(base_tables, batch, when)
+    toxic = table(spark, base, "labels", "doc_id", "toxic").where("toxic = 1").select(F.col("doc_id").alias("seq"))
+    hashes = docs.join(toxic, "seq", "left_semi").select(tx.doc_id_from_hash(tx.content_hash(tx.py_strip(F.col("text")))).alias("doc_id"))
+    remove_documents(base_tables, hashes)
+    entities, edges, manifest = (base_tables.load(n) for n in ("entities", "edges", "manifest"))
+    return (
+        entities.select(F.lit("entity").alias("part"), F.col("key").alias("a"), F.col("entity_type").alias("b"), F.col("mentions").cast("double").alias("n"))
+        .unionByName(edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("n")))
+        .unionByName(manifest.select(F.lit("document").alias("part"), F.col("content_hash").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1.0).alias("n")))
+    )
