@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import brown, decontaminate, exactdup, htmlmain, langid, linededup, neardup, packing, toxicity
+from lorefield.llm import brown, decontaminate, exactdup, htmlmain, langid, linededup, neardup, packing, substring, toxicity
 from lorefield.llm.common import documents, held_out
 from lorefield.llm.oracles import ORACLES  # noqa: F401  (read by the registry)
 from lorefield.session import table
@@ -40,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, base: str) -> DataFrame:
     return exactdup.exact_groups(documents(spark, base))
 
 
+def op7_substring_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return substring.passages(documents(spark, base))
+
+
 def op8_decontaminate(spark: SparkSession, base: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, base).select("doc_id", "text"), table(spark, base, "benchmark", "item_id", "text"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -67,5 +71,5 @@ def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_html_text": op5_html_text, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
+QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_html_text": op5_html_text, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
 
