@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,6 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
         configured = tempfile.mkdtemp(prefix="lorefield-ckpt-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return configured
 
