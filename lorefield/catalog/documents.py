@@ -218,14 +218,16 @@ def manifest_reconcile(spark, base):
 
 @query(
     f"""WITH {_STORED},{_INCOMING},
-named AS (SELECT * FROM stored WHERE source_type <> 'pdf' QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY date_added, doc_id) = 1)
+named AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY date_added, doc_id) = 1)
 SELECT i.seq, i.file_name, n.doc_id, n.doc_id IS NOT NULL AS deduped,
        CASE WHEN n.doc_id IS NULL THEN '''' || i.file_name || ''' was rejected as a duplicate, but no indexed document with that name exists. Delete it from the knowledge base and upload again.' END AS error
-FROM inc i LEFT JOIN named n USING (file_name)"""
+FROM (SELECT seq, file_name FROM inc UNION ALL SELECT -1 - seq, 'new-' || file_name FROM inc) i LEFT JOIN named n USING (file_name)"""
 )
 def ingest_name_conflicts(spark, base):
-    stored = src.stored_manifest(spark, base).where("source_type <> 'pdf'")
-    return mf.resolve_rejected(src.incoming(spark, base).select("seq", "file_name"), stored)
+    """Every file name, and as many that no stored document has."""
+    names = src.incoming(spark, base).select("seq", "file_name")
+    unknown = names.select((-1 - F.col("seq")).alias("seq"), F.concat(F.lit("new-"), "file_name").alias("file_name"))
+    return mf.resolve_rejected(names.unionByName(unknown), src.stored_manifest(spark, base))
 
 
 @query(

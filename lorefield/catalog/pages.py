@@ -184,18 +184,19 @@ _KEY = f"substr(sha256({_CANON}), 1, 16)"
 
 
 @query(
-    f"""WITH cache AS (SELECT DISTINCT {_KEY} AS cache_key FROM pages WHERE url LIKE '%#%')
-SELECT page_id, {_KEY} IN (SELECT cache_key FROM cache) AS hit FROM pages"""
+    f"""WITH cache AS (SELECT DISTINCT {_KEY} AS cache_key FROM pages),
+asked AS (SELECT page_id, url FROM pages UNION ALL SELECT -1 - page_id, 'https://elsewhere.example/' || page_id FROM pages)
+SELECT page_id, {_KEY} IN (SELECT cache_key FROM cache) AS hit FROM asked"""
 )
 def scrape_cache_lookup(spark, base):
     pages = _pages(spark, base, "page_id", "url")
+    unknown = pages.select((-1 - F.col("page_id")).alias("page_id"), F.concat(F.lit("https://elsewhere.example/"), "page_id").alias("url"))
     cache = (
-        pages.where(F.col("url").contains("#"))
-        .select(urls.cache_key(F.col("url")).alias("cache_key"))
+        pages.select(urls.cache_key(F.col("url")).alias("cache_key"))
         .distinct()
         .select("cache_key", F.lit("t").alias("title"), F.lit("zenrows").alias("source"), F.lit("b").alias("body"))
     )
-    hits, misses = sw.cache_lookup(pages, cache)
+    hits, misses = sw.cache_lookup(pages.unionByName(unknown), cache)
     return hits.select("page_id", F.lit(True).alias("hit")).unionByName(misses.select("page_id", F.lit(False).alias("hit")))
 
 

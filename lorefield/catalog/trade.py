@@ -168,9 +168,11 @@ def trade_incident_edges(spark, base):
 
 _MENTIONED = """
 rows0 AS (
-  SELECT 'Customer ' || c_custkey AS name, 'Account' AS entity_type, c_mktsegment AS description, TIMESTAMP '1990-01-01' AS first_seen, TIMESTAMP '1990-01-01' AS last_seen, CAST(-1 AS BIGINT) AS seq, true AS old FROM customer WHERE c_acctbal > 0
+  SELECT 'Customer ' || c_custkey AS name, 'Account' AS entity_type, c_mktsegment AS description, TIMESTAMP '1990-01-01' AS first_seen, TIMESTAMP '1990-01-01' AS last_seen, CAST(-1 AS BIGINT) AS seq, true AS old FROM customer
   UNION ALL
-  SELECT 'CUSTOMER ' || o_custkey, 'account', o_orderpriority, CAST(o_orderdate AS TIMESTAMP), CAST(o_orderdate AS TIMESTAMP), o_orderkey, false FROM orders)"""
+  SELECT 'CUSTOMER ' || o_custkey, 'account', o_orderpriority, CAST(o_orderdate AS TIMESTAMP), CAST(o_orderdate AS TIMESTAMP), o_orderkey, false FROM orders
+  UNION ALL
+  SELECT 'Supplier ' || s_suppkey, 'account', 'supplies', TIMESTAMP '1991-01-01', TIMESTAMP '1991-01-01', CAST(s_suppkey AS BIGINT), false FROM supplier)"""
 
 
 @query(
@@ -180,7 +182,7 @@ SELECT lower(entity_type) || ':' || lower(name) AS key, arg_min(name, seq) AS na
 )
 def trade_upsert_entities(spark, base):
     early = F.lit("1990-01-01 00:00:00").cast("timestamp")
-    stored = table(spark, base, "customer", "c_custkey", "c_acctbal", "c_mktsegment").where("c_acctbal > 0").select(
+    stored = table(spark, base, "customer", "c_custkey", "c_mktsegment").select(
         F.concat(F.lit("Customer "), "c_custkey").alias("name"),
         F.lit("Account").alias("entity_type"),
         F.col("c_mktsegment").alias("description"),
@@ -197,7 +199,16 @@ def trade_upsert_entities(spark, base):
         seen.alias("last_seen"),
         F.col("o_orderkey").alias("seq"),
     )
-    return gr.upsert_entities(stored, incoming)
+    opened = F.lit("1991-01-01 00:00:00").cast("timestamp")
+    suppliers = table(spark, base, "supplier", "s_suppkey").select(
+        F.concat(F.lit("Supplier "), "s_suppkey").alias("name"),
+        F.lit("account").alias("entity_type"),
+        F.lit("supplies").alias("description"),
+        opened.alias("first_seen"),
+        opened.alias("last_seen"),
+        F.col("s_suppkey").cast("long").alias("seq"),
+    )
+    return gr.upsert_entities(stored, incoming.unionByName(suppliers))
 
 
 @query(
@@ -268,19 +279,19 @@ def trade_union_sources(spark, base):
 
 @query(
     """WITH old AS (SELECT doc_id AS chunk_id, 'old ' || source AS text, source AS source_url FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
-inc AS (SELECT doc_id AS chunk_id, lang || ' ' || source AS text, source AS source_url FROM documents WHERE lang = 'en'),
-urls AS (SELECT DISTINCT source AS url FROM documents WHERE n_chars > 20000)
+inc AS (SELECT doc_id AS chunk_id, lang || ' ' || source AS text, source AS source_url FROM documents),
+urls AS (SELECT DISTINCT source AS url FROM documents)
 SELECT 'chunk' AS part, coalesce(o.chunk_id, i.chunk_id) AS chunk_id, coalesce(i.text, o.text) AS text, coalesce(i.source_url, o.source_url) AS url FROM old o FULL JOIN inc i ON o.chunk_id = i.chunk_id
 UNION ALL SELECT 'link', chunk_id, NULL, source_url FROM inc WHERE source_url IN (SELECT url FROM urls)"""
 )
 def chunk_upsert_links(spark, base):
-    docs = src.documents(spark, base, "doc_id", "lang", "source", "n_chars")
+    docs = src.documents(spark, base, "doc_id", "lang", "source")
     labelled = docs.join(table(spark, base, "labels", "doc_id"), "doc_id", "left_semi")
     stored = labelled.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("old "), "source").alias("text"), F.col("source").alias("source_url"))
-    incoming = docs.where("lang = 'en'").select(
+    incoming = docs.select(
         F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("text"), F.col("source").alias("source_url")
     )
-    urls = docs.where("n_chars > 20000").select(F.col("source").alias("url"))
+    urls = docs.select(F.col("source").alias("url")).distinct()
     chunks, links = gr.upsert_chunks(stored, incoming, urls)
     return chunks.select(F.lit("chunk").alias("part"), "chunk_id", "text", F.col("source_url").alias("url")).unionByName(
         links.select(F.lit("link").alias("part"), "chunk_id", F.lit(None).cast("string").alias("text"), "url")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorefield.functions.vectors import cosine_similarity, has_dimension
+from lorefield.session import checkpointed
 
 # --- fixed values ---
 DEFAULT_TOP_K = 10
@@ -47,6 +48,7 @@ def search_many(
     Each task multiplies its own vectors with a block of query vectors and keeps k candidates per query, so what is
     shuffled is k rows per query and task. More queries than fit one block are taken block by block.
     """
+    queries = checkpointed(queries.select(query_id, query_vector))
     blocks = -(-queries.select(query_id).count() // QUERY_BLOCK)
     parts = []
     for number in range(max(blocks, 1)):
@@ -148,10 +150,10 @@ def check_dimension(vectors: DataFrame, dim: int, vector: str = "embedding") ->
 def add_chunks(chunks: DataFrame, stored: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """Chunks whose content hash is not stored yet, with a vector each.
 
-    Supplied vectors are used only when every new chunk has one; otherwise all are embedded anew. The test is a
-    window-free aggregate joined back as a single row.
+    Supplied vectors are used only when every new chunk has one; otherwise all are embedded anew. The new chunks are
+    stored, so that the one-row test does not compute the anti join a second time.
     """
-    fresh = chunks.join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
+    fresh = checkpointed(missing_chunks(chunks, stored))
     complete = fresh.agg(F.coalesce(F.bool_and(F.col("embedding").isNotNull()), F.lit(True)).alias("all_given")).first()
     if complete["all_given"]:
         return fresh
