@@ -25,11 +25,12 @@ SAMPLE_PER_LANGUAGE = 4000
 SWITCH_PENALTY = 8.0
 SCRIPT_SHARE = 0.01
 BARRED = -1e4
+RUN_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages in text order, log scores [trigram, language], word scores by script and the log share of each language."""
+    """Languages in text order, log scores [language, trigram], word scores by script and the log share of each language."""
 
     languages: list[str]
     weights: np.ndarray
@@ -53,7 +54,7 @@ def _words(texts: pa.Array):
     after[first + sizes - 1] = 0
     mix = before * np.uint32(0x85EBCA6B) + low * np.uint32(0xC2B2AE35) + after * np.uint32(0x27D4EB2F)
     feature = (mix ^ (mix >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)
-    return feature.astype(np.int64), script[start], first, sizes, doc, start, bounds
+    return feature.astype(np.uint16), script[start], first, sizes, doc, start, bounds
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", spread_by: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
@@ -99,7 +100,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", spread_by: st
     allowed = share.T >= SCRIPT_SHARE
     barred = np.where(allowed | ~allowed.any(1, keepdims=True), 0.0, BARRED)
     prior = np.log((words.sum(1) + 1) / (words.sum() + len(total)))
-    return LanguageModel([r["lang"] for r in rows], (logs - logs.mean(0)).T.astype(np.float32).copy(), barred.astype(np.float32), prior.astype(np.float32))
+    return LanguageModel([r["lang"] for r in rows], (logs - logs.mean(0)).astype(np.float32), barred.astype(np.float32), prior.astype(np.float32))
 
 
 def _labels(scores: np.ndarray, counts: np.ndarray, prior: np.ndarray, penalty: float) -> np.ndarray:
@@ -137,7 +138,8 @@ def _analyse(texts: pa.Array, model: LanguageModel, penalty: float):
     feature, script, first, sizes, doc, start, bounds = _words(texts)
     if not len(first):
         return sizes, doc, np.empty(0, np.int16), start, bounds
-    scores = np.add.reduceat(model.weights[feature], first, axis=0) + model.scripts[script]
+    # One language at a time: the letters of a run by all languages would be the largest array of the task.
+    scores = np.stack([np.add.reduceat(weights[feature], first) for weights in model.weights], axis=1) + model.scripts[script]
     counts = np.bincount(doc, minlength=len(bounds) - 1)
     return sizes, doc, _labels(scores, counts, model.prior, penalty), start, bounds
 
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
     share = model.languages
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in flat.slices(batches, text, limit=16 << 20):
+        for part in flat.slices(batches, text, limit=RUN_BYTES):
             column = part.column(part.schema.get_field_index(text))
             sizes, doc, best, _, bounds = _analyse(column, model, penalty)
             held = np.bincount(doc * max(1, len(share)) + best, weights=sizes, minlength=part.num_rows * max(1, len(share)))
@@ -169,7 +171,7 @@ def spans(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     """One row per labelled span: the key, first and last code point (end exclusive) of its words, and its language."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in flat.slices(batches, "text", limit=16 << 20):
+        for part in flat.slices(batches, "text", limit=RUN_BYTES):
             sizes, doc, best, start, bounds = _analyse(part.column(1), model, penalty)
             if not len(doc) or not model.languages:
                 continue
