@@ -77,9 +77,3 @@ def checkpointed(df: DataFrame, *partition_by: str) -> DataFrame:
     path = shared_folder(df.sparkSession, "table")
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done: it does so when the driver's garbage collector finds that
-    nothing refers to them, which may otherwise come long after."""
-    spark.sparkContext._jvm.System.gc()
