@@ -47,6 +47,12 @@ OTHER_NAMES = frozenset(
     " subscription signup login share sharing social related recommended comment comments commentlist disqus respond replies widget toolbar"
     " pagination pager skip hidden".split()
 )
+# Words that stand beside those names without changing what they say: cookie-bar, site-footer, related-posts.
+PLAIN_NAMES = frozenset(
+    "site page main top bottom left right center box bar wrap wrapper container inner outer list item items links link block section area slot"
+    " buttons button form unit post posts article articles stories entry global primary secondary".split()
+)
+TEASERS = frozenset("teaser card preview excerpt comment comments reply promo sponsored related recommended".split())
 HOLDS_PAGE = frozenset("form header nav".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
@@ -64,6 +70,7 @@ class Block:
     other: bool
     words: list[str] = field(default_factory=list)
     linked: int = 0
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -73,16 +80,50 @@ class _Open:
     other: bool
     article: int
     link: bool
+    marks: tuple[int, ...] = ()
 
 
-def _element(tag: str, attributes: str) -> tuple[str, bool]:
-    """Name of the element in paths, and whether its markup says it is not the article."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Name of the element in paths, and whether its tag or attributes, its name, or its name as a teaser say that it is
+    not the article. A name says so if it is one of OTHER_NAMES as a whole, or such words and plain ones only."""
     names: list[str] = []
+    named = teaser = False
     if attributes:
         for a, b, c in NAMED.findall(attributes):
-            names += [w.lower() for w in NAME_PARTS.findall(a or b or c)]
-    other = tag in OTHER_TAGS or not OTHER_NAMES.isdisjoint(names) or bool(attributes and HIDDEN.search(attributes))
-    return (f"{tag}.{'.'.join(names)}" if names else tag), other
+            for token in (a or b or c).split():
+                parts = [w.lower() for w in NAME_PARTS.findall(token)]
+                names += parts
+                named = named or (not OTHER_NAMES.isdisjoint(parts) and all(w in OTHER_NAMES or w in PLAIN_NAMES for w in parts))
+                teaser = teaser or not TEASERS.isdisjoint(parts) and all(w in TEASERS or w in PLAIN_NAMES for w in parts)
+    label = f"{tag}.{'.'.join(names)}" if names else tag
+    if tag in ("html", "body"):
+        return label, False, False, False
+    return label, tag in OTHER_TAGS or bool(attributes and HIDDEN.search(attributes)), named, teaser
+
+
+def _confirmed(blocks: list[Block], mains: set[int]) -> list[Block]:
+    """Blocks with `other` set where a name excludes them. An element that holds the page's main element, its only or
+    longest article, or most of its words is not excluded by name."""
+    sizes: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    free: set[int] = set()
+    for b in blocks:
+        if not b.other:
+            for mark in b.marks:
+                sizes[mark] = sizes.get(mark, 0) + len(b.words)
+            if b.article > 0:
+                articles[b.article] = articles.get(b.article, 0) + len(b.words)
+                if not b.marks:
+                    free.add(b.article)
+    total = sum(len(b.words) for b in blocks if not b.other)
+    kept = {mark for mark, n in sizes.items() if 2 * n > total} | mains
+    if articles and not free:
+        longest = max(articles, key=lambda a: (articles[a], -a))
+        held = [set(b.marks) for b in blocks if b.article == longest and not b.other]
+        kept |= set.intersection(*held)
+    for b in blocks:
+        b.other = b.other or not kept.issuperset(b.marks)
+    return blocks
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -91,12 +132,13 @@ def blocks_of(page: str) -> list[Block]:
     stack = [_Open("", "", False, 0, False)]
     blocks: list[Block] = []
     texts: list[tuple[str, bool]] = []
-    articles, at = 0, 0
+    articles, at, marked = 0, 0, 0
+    mains: set[int] = set()
 
     def flush() -> None:
         nonlocal texts
         top = stack[-1]
-        block = Block(top.path, top.article, top.other)
+        block = Block(top.path, top.article, top.other, marks=top.marks)
         joined = "".join(t for t, _ in texts)
         if "&" in joined:
             joined = html.unescape(joined)
@@ -108,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
         texts = []
 
     def close(upto: int) -> None:
-        if any(o.tag in BLOCK or o.other != stack[upto - 1].other for o in stack[upto:]):
+        if any(o.tag in BLOCK or o.other != stack[upto - 1].other or o.marks != stack[upto - 1].marks for o in stack[upto:]):
             flush()
         del stack[upto:]
 
@@ -146,10 +188,11 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag in SPACED:
             add(" ")
-        label, other = _element(tag, found[3])
+        label, other, named, teaser = _element(tag, found[3])
         top = stack[-1]
-        if tag == "header" or (other and label.partition(".")[2] in ("header", "article.header", "entry.header", "post.header") and tag != "nav"):
-            other = other and not top.article
+        if tag == "header" or (named and label.partition(".")[2] in ("header", "article.header", "entry.header", "post.header") and tag != "nav"):
+            other, named = other and not top.article, named and not top.article
+        named = named or (teaser and tag == "article")
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -164,16 +207,22 @@ def blocks_of(page: str) -> list[Block]:
                 region = articles
             elif tag == "main" and not region:
                 region = -1
-        if tag in BLOCK or (other and not inherited):
+            if tag == "main":
+                mains.update(top.marks)
+        if tag in BLOCK or (other and not inherited) or named:
             flush()
+        marks = top.marks
+        if named and not (inherited or other):
+            marked += 1
+            marks = (*marks, marked)
         path = f"{top.path}/{label}" if tag in BLOCK else top.path
-        stack.append(_Open(tag, path, inherited or other, region, top.link or tag == "a"))
+        stack.append(_Open(tag, path, inherited or other, region, top.link or tag == "a", marks))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             del stack[-1:]
     flush()
-    return blocks
+    return _confirmed(blocks, mains)
 
 
 def _hash(text: str) -> int:

@@ -273,6 +273,12 @@ def test_template_words_share_the_vector_of_their_element(spark):
     assert {r.text for r in htmlmain.main_text(copies).collect()} == {"the same page"}
 
 
+@pytest.mark.parametrize("wrap", ['<body class="single has-sidebar">', '<body class="comments-open">', '<body><div class="content with-sidebar">', '<body><div class="sidebar">'])
+def test_names_of_page_wrappers_exclude_nothing(wrap):
+    page = wrap + "<div class=ad>Buy now</div><div class='cookie-bar'>We use them</div><article><p>first part</p><section class='social-science'>second part</section><section id=related-work>third</section>"
+    assert [" ".join(b.words) for b in htmlmain.blocks_of(page) if not b.other] == ["first part", "second part", "third"]
+
+
 def test_folds_follow_the_contract(spark):
     from lorefield.llm.common import held_out
 
