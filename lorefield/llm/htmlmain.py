@@ -24,9 +24,9 @@ from lorefield.llm import flat
 from lorefield.llm.arrow import with_columns
 from lorefield.session import checkpointed
 
-LEAST_PAGES = 8
+LEAST_PAGES = 2
+SURE_PAGES = 8
 LINK_SHARE = 0.5
-TEMPLATE_SHARE = 0.5
 SLICE_BYTES = 4 << 20
 PAGE = "page"
 
@@ -242,13 +242,19 @@ ROLE_NAMES = [f.split(" ")[0] for f in ROLES.split(", ")]
 def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial occurrence vectors of the tokens of each host, as exclusive-or of a hash of (page, count).
 
-    A word whose part already differs from that of the element or page around it cannot be in its class and is left out.
+    Of pages with the same host and content, which come to one task, one counts: copies of a page are no evidence of a
+    template. A word whose part already differs from that of the element or page around it cannot be in its class and is left out.
     """
     page = TaskContext.get().partitionId() << 32
+    known: set[tuple[str, int]] = set()
     for part in flat.slices(batches, "html", limit=SLICE_BYTES):
         paths: dict[tuple[str, str], tuple[int, int]] = {}
         words: dict[tuple[str, str, str], tuple[int, int]] = {}
         for host, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            content = (host, _hash(text or ""))
+            if content in known:
+                continue
+            known.add(content)
             own = {PAGE: {"": 1}}
             for block in blocks_of(text or ""):
                 seen = own.setdefault(block.path, {"": 0})
@@ -281,31 +287,29 @@ def host_of(url: Column) -> Column:
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, path, role, vector, pages, words): the elements of valid classes, and the words in the class of each with the path
-    they stand under.
+    they stand under. A word on fewer than SURE_PAGES distinct pages counts only if all pages of its host have it: equal
+    vectors come about by chance there.
 
     Rows of one host with equal `vector` are one class; a class lies inside another when its path does.
     """
-    tokens = pages.mapInArrow(_roles, ROLES).groupBy("host", "role", "around").agg(
+    dealt = pages.repartition("host", F.xxhash64("html"))
+    tokens = dealt.mapInArrow(_roles, ROLES).groupBy("host", "role", "around").agg(
         F.first("path").alias("path"), F.first("word").alias("word"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")
     )
     tokens = checkpointed(tokens.where(F.col("pages") >= least_pages))
     elements = tokens.where(F.col("around").isNull()).select("host", "path", "role", "vector", "pages")
-    inner = tokens.where(F.col("around").isNotNull()).select("host", F.col("around").alias("role"), "vector", "pages", F.struct(F.col("path").alias("under"), "word").alias("word"))
+    totals = tokens.where(F.col("around").isNull() & (F.col("role") == _role(PAGE))).select("host", F.col("pages").alias("total"))
+    sure = (F.col("pages") >= SURE_PAGES) | (F.col("pages") == F.col("total"))
+    inner = tokens.where(F.col("around").isNotNull()).join(totals, "host").where(sure).select("host", F.col("around").alias("role"), "vector", "pages", F.struct(F.col("path").alias("under"), "word").alias("word"))
     words = inner.groupBy("host", "role", "vector", "pages").agg(F.collect_list("word").alias("words"))
     return elements.join(words, ["host", "role", "vector", "pages"], "left")
 
 
 def _text(page: str, fixed: set[tuple[str, str]]) -> str:
-    """The page's slots: blocks of its article with a word outside the template.
-
-    Where the template would take more than TEMPLATE_SHARE of what the markup leaves, the host's pages are copies of one
-    page, and the page is taken whole.
-    """
+    """The page's slots: blocks of its article with a word outside the template. A page without slots is taken whole."""
     blocks = [b for b in blocks_of(page) if not b.other]
     slots = [b for b in blocks if any((b.path, w) not in fixed for w in b.words)] if fixed else blocks
-    size = lambda part: sum(len(b.words) for b in part)
-    if size(slots) < (1 - TEMPLATE_SHARE) * size(blocks):
-        slots = blocks
+    slots = slots or blocks
     sizes: dict[int, int] = {}
     for b in slots:
         sizes[b.article] = sizes.get(b.article, 0) + sum(map(len, b.words))

@@ -279,6 +279,18 @@ def test_names_of_page_wrappers_exclude_nothing(wrap):
     assert [" ".join(b.words) for b in htmlmain.blocks_of(page) if not b.other] == ["first part", "second part", "third"]
 
 
+def test_templates_hold_on_short_pages_small_hosts_and_beside_copies(spark):
+    menu = "".join(f"<div>entry {n} of the menu</div>" for n in ("one", "two", "three", "four"))
+    page = lambda i: f"{menu}<p>own{i} text{i}</p>"
+    rows = [(f"https://big.example/{i}", page(i)) for i in range(12)] + [(f"https://small.example/{i}", page(i)) for i in range(2)]
+    rows += [(f"https://same.example/{i}", page(7)) for i in range(12)]
+    got = {r.url: r.text for r in htmlmain.main_text(spark.createDataFrame(rows, "url string, html string").repartition(5)).collect()}
+    whole = "\n\n".join([f"entry {n} of the menu" for n in ("one", "two", "three", "four")] + ["own7 text7"])
+    for url, text in got.items():
+        number = url.rpartition("/")[2]
+        assert text == (whole if "same" in url else f"own{number} text{number}")
+
+
 def test_folds_follow_the_contract(spark):
     from lorefield.llm.common import held_out
 
