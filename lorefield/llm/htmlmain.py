@@ -3,7 +3,8 @@
 Every element path and every word under a path is a token. Tokens with the same occurrence vector over a host's pages
 are one equivalence class. A class is valid when enough pages have it and it holds the path of an element or of the page
 as a whole; words in the class of the element or page around them are part of the template, and classes nest as their
-paths do. What the template leaves are slots. A page's text is the slots of its article, without the parts that its markup names as something else.
+paths do. What the template leaves are slots. A page's text is the slots of its main
+element and articles, without the parts that its markup names as something else.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from lorefield.session import checkpointed
 LEAST_PAGES = 2
 SURE_PAGES = 8
 LINK_SHARE = 0.5
+LONG_WORDS = 15
 SLICE_BYTES = 4 << 20
 PAGE = "page"
 
@@ -306,21 +308,28 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
 
 def _text(page: str, fixed: set[tuple[str, str]]) -> str:
-    """The page's slots: blocks of its article with a word outside the template. A page without slots is taken whole."""
+    """The page's slots: blocks of its article with a word outside the template. A page without slots is taken whole.
+
+    The article is all of main and of every article that is not a teaser, which is one of links that is not the longest.
+    Without them, short blocks of links are left out before the first and after the last long block of text.
+    """
     blocks = [b for b in blocks_of(page) if not b.other]
     slots = [b for b in blocks if any((b.path, w) not in fixed for w in b.words)] if fixed else blocks
     slots = slots or blocks
-    sizes: dict[int, int] = {}
+    size = lambda part: sum(len(b.words) for b in part)
+    inside: dict[int, list[Block]] = {}
     for b in slots:
-        sizes[b.article] = sizes.get(b.article, 0) + sum(map(len, b.words))
-    articles = {a: n for a, n in sizes.items() if a > 0}
-    if articles:
-        chosen = max(articles, key=lambda a: (articles[a], -a))
-    elif -1 in sizes:
-        chosen = -1
+        if b.article:
+            inside.setdefault(b.article, []).append(b)
+    if inside:
+        longest = max(inside, key=lambda a: (size(inside[a]), -a))
+        teasers = {a for a, part in inside.items() if a not in (longest, -1) and sum(b.linked for b in part) > LINK_SHARE * size(part)}
+        kept = [b for b in slots if b.article and b.article not in teasers]
     else:
-        return "\n\n".join(" ".join(b.words) for b in slots if b.linked <= LINK_SHARE * len(b.words))
-    return "\n\n".join(" ".join(b.words) for b in slots if b.article == chosen)
+        text = [i for i, b in enumerate(slots) if b.linked <= LINK_SHARE * len(b.words) and len(b.words) >= LONG_WORDS]
+        first, last = (text[0], text[-1]) if text else (0, 0)
+        kept = [b for i, b in enumerate(slots) if b.linked <= LINK_SHARE * len(b.words) or first < i < last or b.linked < len(b.words) >= LONG_WORDS]
+    return "\n\n".join(" ".join(b.words) for b in kept)
 
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:

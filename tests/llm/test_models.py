@@ -291,6 +291,14 @@ def test_templates_hold_on_short_pages_small_hosts_and_beside_copies(spark):
         assert text == (whole if "same" in url else f"own{number} text{number}")
 
 
+def test_all_articles_and_main_are_kept_and_links_inside_text():
+    page = "<p>out</p><main><h1>Head</h1><p>Lede</p><article><p>one text</p></article><article><p>two</p></article><article><a href=x>more</a></article><article class=teaser>see also</article></main>"
+    assert htmlmain._text(page, set()) == "Head\n\nLede\n\none text\n\ntwo"
+    long = " ".join(["word"] * 20)
+    page = f"<ul><li><a href=/>Home</a></ul><p>{long}</p><p><a href=x>a source</a></p><p>{long}</p><ul><li><a href=/>Top</a></ul>"
+    assert htmlmain._text(page, set()) == f"{long}\n\na source\n\n{long}"
+
+
 def test_folds_follow_the_contract(spark):
     from lorefield.llm.common import held_out
 
