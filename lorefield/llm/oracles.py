@@ -76,4 +76,25 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op6_exact_dedup": OP6, "op8_decontaminate": OP8}
+def _op13(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    dot = "list_dot_product"
+    steps = [
+        "kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS v FROM embeddings"
+        " WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS r(p))",
+        f"book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts QUALIFY e < {entries})",
+    ]
+    for i in range(rounds + 1):
+        near = f"CAST({dot}(t.x, t.x) - 2 * {dot}(t.x, b.x) + {dot}(b.x, b.x) AS BIGINT) * {entries} + e"
+        steps.append(f"near{i} AS MATERIALIZED (SELECT vec_id, p, any_value(t.x) AS x, min({near}) AS best FROM parts t JOIN book{i} b USING (p) GROUP BY vec_id, p)")
+        if i < rounds:
+            steps.append(
+                f"book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS x FROM ("
+                f"SELECT p, best % {entries} AS e, i, floor(sum(x[i]) / count(*)) AS m FROM near{i}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL) GROUP BY p, e) m USING (p, e))"
+            )
+    steps.append(f"coded AS (SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)")
+    steps.append(f"digest AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest"
+
+
+ORACLES = {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op6_exact_dedup": OP6, "op8_decontaminate": OP8, "op13_vector_codes": _op13()}

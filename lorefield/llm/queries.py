@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import brown, decontaminate, exactdup, htmlmain, langid, linededup, neardup, packing, substring, toxicity
+from lorefield.llm import brown, decontaminate, exactdup, htmlmain, langid, linededup, neardup, packing, substring, toxicity, vectorcodes
 from lorefield.llm.common import documents, held_out
 from lorefield.llm.oracles import ORACLES  # noqa: F401  (read by the registry)
 from lorefield.session import table
@@ -71,5 +71,9 @@ def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_html_text": op5_html_text, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
+def op13_vector_codes(spark: SparkSession, base: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, base, "embeddings"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_html_text": op5_html_text, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id, "op13_vector_codes": op13_vector_codes}
 
