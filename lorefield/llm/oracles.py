@@ -76,6 +76,49 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def _op12(buckets: int = 10_000) -> str:
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        table.append(c)
+    grams = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))"
+    step = f"xor(({table})[CAST((xor(c, x) & 255) + 1 AS BIGINT)], c >> 8)"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, {ITEM_WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents
+), b AS (
+  SELECT {ITEM_WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM benchmark
+), dg AS MATERIALIZED (
+  SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({grams}) AS g FROM d) GROUP BY ALL
+), bg AS MATERIALIZED (
+  SELECT g, count(*) AS n FROM (SELECT unnest({grams}) AS g FROM b) GROUP BY ALL
+), spelled AS (
+  SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM dg UNION SELECT g FROM bg)
+), hashed AS MATERIALIZED (
+  SELECT g, CAST(xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)), lambda c, x: {step}, 4294967295), 4294967295) % {buckets} AS BIGINT) AS bucket FROM spelled
+), s AS (
+  SELECT bucket, sum(n) AS s FROM dg JOIN hashed USING (g) GROUP BY bucket
+), t AS (
+  SELECT bucket, sum(n) AS t FROM bg JOIN hashed USING (g) GROUP BY bucket
+), totals AS (
+  SELECT CAST(coalesce((SELECT sum(s) FROM s), 0) AS DOUBLE) AS ss, CAST(coalesce((SELECT sum(t) FROM t), 0) AS DOUBLE) AS tt
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (ss + {buckets}) / ((coalesce(s, 0)::DOUBLE + 1) * (tt + {buckets})))) AS BIGINT) AS gain
+  FROM range({buckets}) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), totals
+), w AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM dg JOIN hashed USING (g) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN w USING (doc_id)
+), ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20 QUALIFY rank <= 5 * count(*) OVER () // 100
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN ranks USING (doc_id)
+"""
+
+
 def _op13(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     dot = "list_dot_product"
     steps = [
@@ -97,4 +140,4 @@ def _op13(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest"
 
 
-ORACLES = {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op6_exact_dedup": OP6, "op8_decontaminate": OP8, "op13_vector_codes": _op13()}
+ORACLES = {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op6_exact_dedup": OP6, "op8_decontaminate": OP8, "op12_importance_resample": _op12(), "op13_vector_codes": _op13()}

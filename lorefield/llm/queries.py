@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import brown, decontaminate, exactdup, htmlmain, langid, linededup, neardup, packing, substring, toxicity, vectorcodes
+from lorefield.llm import brown, decontaminate, exactdup, htmlmain, langid, linededup, neardup, packing, quality, resample, substring, toxicity, vectorcodes
 from lorefield.llm.common import documents, held_out
 from lorefield.llm.oracles import ORACLES  # noqa: F401  (read by the registry)
-from lorefield.session import table
+from lorefield.session import checkpointed, table
 
 
 def op1_packing(spark: SparkSession, base: str) -> DataFrame:
@@ -71,9 +71,21 @@ def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_quality(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base).select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    described = checkpointed(quality.describe(docs))
+    labels = table(spark, base, "labels", "doc_id", "quality").where(~held_out(F.col("doc_id"), 4, 2))
+    return quality.score(described, quality.train(described, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_importance_resample(spark: SparkSession, base: str) -> DataFrame:
+    drawn = resample.resample(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_vector_codes(spark: SparkSession, base: str) -> DataFrame:
     return vectorcodes.compressed(table(spark, base, "embeddings"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_html_text": op5_html_text, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id, "op13_vector_codes": op13_vector_codes}
+QUERIES = {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_html_text": op5_html_text, "op6_exact_dedup": op6_exact_dedup, "op2_line_dedup": op2_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id, "op11_quality": op11_quality, "op12_importance_resample": op12_importance_resample, "op13_vector_codes": op13_vector_codes}
 
