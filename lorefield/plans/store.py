@@ -1,8 +1,9 @@
 """A stored knowledge base: batches go in, documents go out, and a step that runs again changes nothing.
 
-Every table is a folder of versions; the highest complete one counts, so a job that dies leaves the tables as they were.
-Rows of documents are appended after an anti join on their ids, the manifest last. Merged entities and edges are made
-anew only for the keys that a batch touches.
+All tables change in one snapshot (`snapshots.Tables`): a job that dies, wherever it does, leaves the base as it was, so a
+document is either in every table or in none. Tables are dealt by the key that changes ask for: documents' rows by document,
+mentions and pairs by what they are merged into. A batch adds runs of rows, and rewrites of the merged entities and edges only
+the parts whose keys it names; a deletion rewrites only parts that hold rows of the document.
 """
 
 from __future__ import annotations
@@ -13,71 +14,53 @@ from pyspark.sql import functions as F
 from lorefield.operators import graph as gr
 from lorefield.operators import manifest as mf
 from lorefield.plans.ingest import IndexOptions, ingest
+from lorefield.plans.snapshots import PARTS, Change, Tables
 from lorefield.schemas import DOC_STATUS, MANIFEST
 from lorefield.session import checkpointed
 
 PLACE = "doc_id string, chunk_index int"
 SCHEMAS = {
     "chunks": f"{PLACE}, chunk_id string, content string, token_count int, char_count int, content_hash string",
-    "vectors": "chunk_id string, embedding array<float>",
+    "vectors": "doc_id string, chunk_id string, embedding array<float>",
     "mentions": f"{PLACE}, chunk_id string, pos int, name string, type string, description string, key string",
-    "pairs": f"{PLACE}, pos int, source string, target string, keywords string, description string, source_key string, target_key string",
+    "pairs": f"{PLACE}, pos int, source string, target string, keywords string, description string, source_key string, target_key string, src string, dst string",
     "status": DOC_STATUS,
     "manifest": MANIFEST,
     "entities": "key string, entity_type string, name string, mentions long, description string",
     "edges": "src string, dst string, weight double, keywords string, description string",
+    # Which merged rows a document has a share in.
+    "document_keys": "doc_id string, key string",
+    "document_ends": "doc_id string, src string, dst string",
 }
-OWN_ID = {"vectors": "chunk_id", "status": "id"}
+KEYS = {
+    "chunks": ["doc_id"], "vectors": ["doc_id"], "status": ["id"], "manifest": ["doc_id"], "document_keys": ["doc_id"], "document_ends": ["doc_id"],
+    "mentions": ["key"], "entities": ["key"], "pairs": ["src", "dst"], "edges": ["src", "dst"],
+}
 
 
-class Store:
-    """Tables below one folder; a table that is missing reads as empty."""
+class Store(Tables):
+    """The tables of one knowledge base; a table without rows reads as empty."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, parts: int = PARTS):
+        super().__init__(spark, base, SCHEMAS, KEYS, parts)
 
-    def _version(self, name: str) -> int:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return 0
-        found = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("v")]
-        return max((int(p.getName()[1:]) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=0)
 
-    def load(self, name: str) -> DataFrame:
-        version = self._version(name)
-        if not version:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}/v{version}")
+def _with_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"src": F.least("source_key", "target_key"), "dst": F.greatest("source_key", "target_key")})
 
-    def _shaped(self, rows: DataFrame, name: str) -> DataFrame:
-        fields = self.spark.createDataFrame([], SCHEMAS[name]).schema.fields
-        missing = {f.name: F.lit(None).cast(f.dataType) for f in fields if f.name not in rows.columns}
-        return rows.withColumns(missing).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add the rows of documents that the table does not hold."""
-        own = OWN_ID.get(name, "doc_id")
-        fresh = self._shaped(rows, name).join(self.load(name).select(own).distinct(), own, "left_anti")
-        self._shaped(fresh, name).write.mode("append").parquet(f"{self.base}/{name}/v{max(1, self._version(name))}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        self._shaped(rows, name).write.mode("overwrite").parquet(f"{self.base}/{name}/v{self._version(name) + 1}")
-
-
-def _merge_again(store: Store, keys: DataFrame, ends: DataFrame) -> None:
-    """Entities of `keys` (key) and edges of `ends` (src, dst) from all their stored mentions and pairs; the rest stays as it is."""
-    keys, ends = checkpointed(keys.distinct()), checkpointed(ends.distinct())
-    mentions = store.load("mentions").join(keys, "key", "left_semi")
-    store.replace("entities", store.load("entities").join(keys, "key", "left_anti").unionByName(store._shaped(gr.merge_mentions(mentions), "entities")))
-    pairs = store.load("pairs").withColumns({"src": F.least("source_key", "target_key"), "dst": F.greatest("source_key", "target_key")})
-    touched = pairs.join(ends, ["src", "dst"], "left_semi").drop("src", "dst")
-    store.replace("edges", store.load("edges").join(ends, ["src", "dst"], "left_anti").unionByName(store._shaped(gr.merge_pairs(touched), "edges")))
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("source_key", "target_key").alias("src"), F.greatest("source_key", "target_key").alias("dst"))
+def _merge_again(change: Change, keys: DataFrame, ends: DataFrame) -> None:
+    """Entities of `keys` (key) and edges of `ends` (src, dst) from all their mentions and pairs. Only the parts that hold one of
+    them are read and written again."""
+    tables = change.tables
+    for name, rows, wanted, merge in (("entities", "mentions", keys, gr.merge_mentions), ("edges", "pairs", ends, gr.merge_pairs)):
+        by = KEYS[name]
+        # Rows of a key and its merged row have the same part number.
+        parts = tables.parts_in(name, wanted)
+        if not parts:
+            continue
+        merged = tables.shaped(merge(change.load(rows, parts).join(wanted, by, "left_semi")), name)
+        change.rewrite(name, change.load(name, parts).join(wanted, by, "left_anti").unionByName(merged), parts)
 
 
 def add_batch(store: Store, incoming: DataFrame, date_added: Column, options: IndexOptions = IndexOptions(), track_id: str | None = None) -> dict[str, DataFrame]:
@@ -86,7 +69,8 @@ def add_batch(store: Store, incoming: DataFrame, date_added: Column, options: In
     Known contents lead to the stored document. Of new contents, one whose file name the index already holds, or an
     earlier row of the batch has, is refused: it leads to the document of that name. Running a batch again stores nothing.
     """
-    manifest, status = store.load("manifest"), store.load("status")
+    change = store.begin()
+    manifest, status = change.load("manifest"), change.load("status")
     taken = status.where(F.col("status") == "processed").select(F.col("file_path").alias("file_name")).distinct()
     hashed = checkpointed(mf.prepare(incoming).where(F.col("error").isNull()).select("seq", "file_name", "content_hash"))
     fresh = hashed.groupBy("content_hash").agg(F.min_by(F.struct("seq", "file_name"), "seq").alias("f")).select("content_hash", "f.*")
@@ -97,25 +81,30 @@ def add_batch(store: Store, incoming: DataFrame, date_added: Column, options: In
     rejected = hashed.join(refused.select("content_hash"), "content_hash", "left_semi").select("seq", "file_name")
     out = ingest(incoming.join(rejected.select("seq"), "seq", "left_anti"), manifest, date_added, options)
     indexed = checkpointed(out["manifest"])
-    documents = {name: checkpointed(out[name]) for name in ("chunks", "mentions", "pairs")}
-    store.append("chunks", documents["chunks"])
-    store.append("vectors", out["vectors"])
-    store.append("mentions", documents["mentions"])
-    store.append("pairs", documents["pairs"])
-    rows = indexed.select(
-        F.col("doc_id").alias("id"),
-        F.lit(track_id).cast("string").alias("track_id"),
-        F.lit("processed").alias("status"),
-        F.col("file_name").alias("file_path"),
-        F.col("chunk_count").alias("chunks_count"),
-        F.md5("file_name").alias("content_hash"),
-        F.col("size_bytes").alias("content_length"),
-    )
-    store.append("status", rows)
-    _merge_again(store, documents["mentions"].select("key"), _ends(documents["pairs"]))
-    store.append("manifest", indexed)
-    store.append("manifest", mf.reconcile(store.load("status"), store.load("manifest"), date_added))
-    answers = mf.resolve_rejected(rejected, store.load("manifest"))
+    if not indexed.isEmpty():
+        chunks, mentions, pairs = (checkpointed(out[name]) for name in ("chunks", "mentions", "pairs"))
+        pairs = _with_ends(pairs)
+        keys, ends = checkpointed(mentions.select("doc_id", "key").distinct()), checkpointed(pairs.select("doc_id", "src", "dst").distinct())
+        vectors = out["vectors"].join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+        rows = indexed.select(
+            F.col("doc_id").alias("id"),
+            F.lit(track_id).cast("string").alias("track_id"),
+            F.lit("processed").alias("status"),
+            F.col("file_name").alias("file_path"),
+            F.col("chunk_count").alias("chunks_count"),
+            F.md5("file_name").alias("content_hash"),
+            F.col("size_bytes").alias("content_length"),
+        )
+        added = {"chunks": chunks, "vectors": vectors, "mentions": mentions, "pairs": pairs, "status": rows, "manifest": indexed, "document_keys": keys, "document_ends": ends}
+        for name, new in added.items():
+            change.append(name, new)
+        _merge_again(change, keys.select("key").distinct(), ends.select("src", "dst").distinct())
+    lost = checkpointed(mf.reconcile(change.load("status"), change.load("manifest"), date_added))
+    if not lost.isEmpty():
+        change.append("manifest", lost)
+    if change.changed:
+        change.commit()
+    answers = mf.resolve_rejected(rejected, change.load("manifest"))
     results = out["results"].select("seq", "doc_id", "deduped").unionByName(answers.where("error IS NULL").select("seq", "doc_id", "deduped"))
     errors = out["errors"].unionByName(answers.where("error IS NOT NULL").select("seq", "file_name", "error"))
     return {"results": results, "errors": errors}
@@ -123,17 +112,26 @@ def add_batch(store: Store, incoming: DataFrame, date_added: Column, options: In
 
 def remove_documents(store: Store, ids: DataFrame) -> DataFrame:
     """Delete documents (doc_id) from every table and take their share out of entities and edges; gives (doc_id, deleted)."""
-    held = {name: store.load(name) for name in ("chunks", "mentions", "pairs")}
-    out = mf.delete_documents(ids, store.load("manifest"), store.load("status"), **held)
+    change = store.begin()
+    out = mf.delete_documents(ids, change.load("manifest"), change.load("status"))
     outcome = checkpointed(out["outcome"])
-    gone = outcome.where("deleted").select("doc_id")
-    keys = checkpointed(held["mentions"].join(gone, "doc_id", "left_semi").select("key"))
-    ends = checkpointed(_ends(held["pairs"].join(gone, "doc_id", "left_semi")))
-    chunk_ids = held["chunks"].join(gone, "doc_id", "left_semi").select("chunk_id")
-    vectors = store.load("vectors").join(chunk_ids, "chunk_id", "left_anti")
-    new = {name: checkpointed(rows) for name, rows in (*((n, out[n]) for n in (*held, "status", "manifest")), ("vectors", vectors))}
-    for name in ("vectors", *held, "status"):
-        store.replace(name, new[name])
-    _merge_again(store, keys, ends)
-    store.replace("manifest", new["manifest"])
+    gone = checkpointed(outcome.where("deleted").select("doc_id"))
+    if gone.isEmpty():
+        return outcome
+    parts = store.parts_in("manifest", gone)
+    keys = checkpointed(change.load("document_keys", parts).join(gone, "doc_id", "left_semi").select("key").distinct())
+    ends = checkpointed(change.load("document_ends", parts).join(gone, "doc_id", "left_semi").select("src", "dst").distinct())
+    touched = {"mentions": store.parts_in("mentions", keys), "pairs": store.parts_in("pairs", ends)}
+    for name in ("chunks", "vectors", "mentions", "pairs", "manifest", "document_keys", "document_ends"):
+        own = touched.get(name, parts)
+        if own:
+            change.rewrite(name, change.load(name, own).join(gone, "doc_id", "left_anti"), own)
+    # Status rows that go: those of the documents, and refused ones under their names.
+    status = change.load("status")
+    stale = checkpointed(status.select("id").join(out["status"].select("id"), "id", "left_anti"))
+    own = store.parts_in("status", stale)
+    if own:
+        change.rewrite("status", change.load("status", own).join(stale, "id", "left_anti"), own)
+    _merge_again(change, keys, ends)
+    change.commit()
     return outcome

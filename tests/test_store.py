@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lorefield.operators import vector as ve
 from lorefield.plans.ingest import IndexOptions, index
+from lorefield.plans.snapshots import Conflict, Tables
 from lorefield.plans.store import Store, add_batch, remove_documents
 from lorefield.session import shared_folder
 
@@ -46,9 +48,70 @@ def test_batches_twice_and_delete(spark):
     assert tables(store) == before
 
 
-def test_an_unfinished_version_is_not_read(spark):
-    folder = shared_folder(spark, "base")
-    store = Store(spark, folder)
-    store.replace("edges", spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double"))
-    spark.createDataFrame([("x",)], "src string").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/edges/v2")
-    assert [r.src for r in store.load("edges").collect()] == ["a"]
+def files_of(store, name):
+    return {row.f for row in store.load(name).select(F.input_file_name().alias("f")).distinct().collect()}
+
+
+def test_a_change_that_dies_leaves_the_last_snapshot(spark, monkeypatch):
+    when = F.lit("2024-01-01").cast("timestamp")
+    store = Store(spark, shared_folder(spark, "base"), parts=4)
+    add_batch(store, spark.createDataFrame(FIRST, COLUMNS), when, OPTIONS)
+    before, number = tables(store), store.latest()
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr("lorefield.plans.store._merge_again", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        add_batch(store, spark.createDataFrame(SECOND, COLUMNS), when, OPTIONS)
+    monkeypatch.undo()
+    assert tables(store) == before and store.latest() == number
+    # What the dead job wrote is no part of any snapshot.
+    assert len(store.expire(keep=1)) == 8 and tables(store) == before
+    add_batch(store, spark.createDataFrame(SECOND, COLUMNS), when, OPTIONS)
+    assert store.load("manifest").count() == 3
+
+
+def test_untouched_parts_keep_their_files(spark):
+    store = Tables(spark, shared_folder(spark, "tables"), {"t": "k long, v string"}, {"t": ["k"]}, parts=8)
+    change = store.begin()
+    change.append("t", spark.range(100).select(F.col("id").alias("k"), F.lit("old").alias("v")))
+    assert change.commit() == 1
+    before = files_of(store, "t")
+    change = store.begin()
+    parts = store.parts_in("t", spark.createDataFrame([(7,)], "k long"))
+    change.rewrite("t", change.load("t", parts).withColumn("v", F.when(F.col("k") == 7, F.lit("new")).otherwise(F.col("v"))), parts)
+    change.commit()
+    after = files_of(store, "t")
+    assert len(parts) == 1 and len(before & after) == len(before) - 1 and len(after - before) == 1
+    assert {(r.k, r.v, r.change) for r in store.changes("t", 1).collect()} == {(7, "new", "added"), (7, "old", "removed")}
+    assert store.load("t", at=1).where("v = 'new'").count() == 0 and store.load("t").count() == 100
+    with pytest.raises(ValueError, match="not rewritten"):
+        store.begin().rewrite("t", spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("v")), parts)
+
+
+def test_one_of_two_writers_starts_again(spark):
+    store = Tables(spark, shared_folder(spark, "tables"), {"t": "k long"}, {"t": ["k"]}, parts=2)
+    one, two = store.begin(), store.begin()
+    one.append("t", spark.range(3).select(F.col("id").alias("k")))
+    two.append("t", spark.range(5).select(F.col("id").alias("k")))
+    assert two.commit() == 1
+    with pytest.raises(Conflict):
+        one.commit()
+    assert store.load("t").count() == 5
+
+
+def test_runs_are_joined_and_a_broken_snapshot_is_passed_over(spark):
+    store = Tables(spark, shared_folder(spark, "tables"), {"t": "k long"}, {"t": ["k"]}, parts=2)
+    for i in range(4):
+        change = store.begin()
+        change.append("t", spark.createDataFrame([(i,), (i + 10,), (i + 20,)], "k long"))
+        change.commit()
+    rows = sorted(r.k for r in store.load("t").collect())
+    assert store.compact("t", max_runs=3) == 5 and store.compact("t", max_runs=3) is None
+    assert store.changes("t", 4).count() == 0 and sorted(r.k for r in store.load("t").collect()) == rows
+    store._files().create(store._path("_snapshots", "000000000006.json"), False).close()
+    assert store.latest() == 5 and store.snapshots() == [1, 2, 3, 4, 5]
+    change = store.begin()
+    change.append("t", spark.createDataFrame([(99,)], "k long"))
+    assert change.commit() == 7 and store.load("t").count() == 13
