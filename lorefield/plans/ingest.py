@@ -12,19 +12,21 @@ from lorefield.operators import chunks as ch
 from lorefield.operators import extract as ex
 from lorefield.operators import graph as gr
 from lorefield.operators import manifest as mf
+from lorefield.operators import tokens as tk
 from lorefield.operators import vector as ve
 from lorefield.session import checkpointed
 
 
 @dataclass(frozen=True)
 class IndexOptions:
-    """Chunk sizes and the models; without models the offline defaults are used."""
+    """Chunk sizes and the models; without models the offline defaults are used, and without a vocabulary words are tokens."""
 
     size: int = ch.CHUNK_TOKENS
     overlap: int = ch.CHUNK_OVERLAP_TOKENS
     embedder: ve.Embedder | None = None
     predictor: ex.Predictor | None = None
     threshold: float | None = ex.SCORE_THRESHOLD
+    vocabulary: tk.Vocabulary | None = None
 
 
 def index(documents: DataFrame, options: IndexOptions = IndexOptions()) -> dict[str, DataFrame]:
@@ -32,7 +34,10 @@ def index(documents: DataFrame, options: IndexOptions = IndexOptions()) -> dict[
 
     The extracted records are made durable once, since five tables are read from them.
     """
-    chunks = ch.chunk_by_tokens(documents, size=options.size, overlap=options.overlap)
+    if options.vocabulary:
+        chunks = tk.chunk_by_vocabulary(documents, options.vocabulary, size=options.size, overlap=options.overlap).drop("token_start", "first", "last")
+    else:
+        chunks = ch.chunk_by_tokens(documents, size=options.size, overlap=options.overlap)
     records = checkpointed(ex.extract_records(chunks, predictor=options.predictor, threshold=options.threshold))
     mentions = ex.entity_rows(records, "doc_id", "chunk_index", "chunk_id").withColumn("key", casefold(F.col("name")))
     pairs = ex.relationship_rows(records, "doc_id", "chunk_index").withColumns(
