@@ -14,6 +14,7 @@ from lorefield.operators import retrieve as rt
 from lorefield.operators import vector as ve
 from lorefield.plans import ask
 from lorefield.plans.store import Store, add_batch, remove_documents
+from lorefield.streaming.ingest import index_to_end
 from lorefield.session import checkpointed, shared_folder, table
 
 QUERIES = {}
@@ -335,3 +336,41 @@ def kb_life_cycle(spark, base):
         .unionByName(edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("n")))
         .unionByName(manifest.select(F.lit("document").alias("part"), F.col("content_hash").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1.0).alias("n")))
     )
+
+
+@query(
+    f"""{text_graph()},
+en AS (SELECT DISTINCT sha256({norm(strip('text'))}) AS h FROM documents WHERE lang = 'en'),
+early AS (SELECT doc_id FROM uniq WHERE sha256({norm(strip('text'))}) IN (SELECT h FROM en)),
+c1 AS (SELECT key, type, count(*) AS n FROM ents WHERE doc_id IN (SELECT doc_id FROM early) GROUP BY ALL),
+c2 AS (SELECT key, type, count(*) AS n FROM ents GROUP BY ALL),
+s1 AS (SELECT key, arg_min(type, (-n, type)) AS entity_type, CAST(sum(n) AS BIGINT) AS mentions FROM c1 GROUP BY key),
+s2 AS (SELECT key, arg_min(type, (-n, type)) AS entity_type, CAST(sum(n) AS BIGINT) AS mentions FROM c2 GROUP BY key)
+SELECT 'added' AS change, * FROM (SELECT * FROM s2 EXCEPT SELECT * FROM s1) UNION ALL SELECT 'removed', * FROM (SELECT * FROM s1 EXCEPT SELECT * FROM s2)"""
+)
+def kb_change_feed(spark, base):
+    """What the second of two batches changes in the stored entities, from the runs that the two snapshots do not share."""
+    docs = src.incoming(spark, base).withColumn("file_name", F.concat_ws("-", "seq", "file_name"))
+    english = table(spark, base, "documents", "doc_id", "lang").where("lang = 'en'").select(F.col("doc_id").alias("seq"))
+    base_tables = Store(spark, shared_folder(spark, "base"))
+    when = F.lit(src.BASE_TIME).cast("timestamp")
+    add_batch(base_tables, docs.join(english, "seq", "left_semi"), when)
+    first = base_tables.latest()
+    add_batch(base_tables, docs.join(english, "seq", "left_anti"), when)
+    return base_tables.changes("entities", first).select("change", "key", "entity_type", "mentions")
+
+
+@query(
+    f"""{text_graph()}, c AS (SELECT key, type, count(*) AS n FROM ents GROUP BY ALL)
+SELECT key, arg_min(type, (-n, type)) AS entity_type, CAST(sum(n) AS BIGINT) AS mentions FROM c GROUP BY key"""
+)
+def stream_kb_entities(spark, base):
+    """Entities of a base that a stream of documents has filled."""
+    schema = spark.read.parquet(f"{base}/documents.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", "64").parquet(base)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    uploads = stream.select(F.col("doc_id").alias("seq"), name.alias("file_name"), F.lit("text").alias("source_type"), "text")
+    folder = shared_folder(spark, "base")
+    store = Store(spark, f"{folder}/tables")
+    index_to_end(uploads, store, f"{folder}/progress", F.lit(src.BASE_TIME).cast("timestamp"))
+    return store.load("entities").select("key", "entity_type", "mentions")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lorefield.catalog import inputs as src
 from lorefield.catalog.sqlparts import TRADE
 from lorefield.functions import text as tx
+from lorefield.operators import adjacency as ad
+from lorefield.operators import communities as co
 from lorefield.operators import graph as gr
 from lorefield.session import checkpointed, table
 
@@ -123,6 +125,89 @@ def trade_paths_4(spark, base):
     return paths.select(F.array_join("path", ">").alias("path"), "length")
 
 
+def _adjacency(spark, base):
+    return ad.write_adjacency(src.trade_edges(spark, base))
+
+
+def _at(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "id string")
+
+
+@query(
+    f"""WITH {TRADE},{_BOTH},{_NODES},
+h1 AS (SELECT DISTINCT dst AS id FROM both_ways WHERE src = 'nation:7' AND dst <> 'nation:7'),
+h2 AS (SELECT DISTINCT dst AS id FROM both_ways WHERE src IN (SELECT id FROM h1) AND dst NOT IN (SELECT id FROM h1) AND dst <> 'nation:7'),
+found AS (SELECT id, CAST(1 AS INTEGER) AS hop FROM h1 UNION ALL SELECT id, CAST(2 AS INTEGER) FROM h2)
+SELECT id, hop, entity_type, seq FROM found JOIN nodes USING (id)"""
+)
+def trade_adjacent_nodes(spark, base):
+    """Rows of the nodes within two hops, over the stored layout."""
+    nodes, _ = ad.neighborhood(_adjacency(spark, base), _at(spark, "nation:7"), 2, src.trade_nodes(spark, base))
+    return nodes
+
+
+@query(
+    f"""WITH {TRADE},{_BOTH},
+ex AS (SELECT 'nation:7' AS id UNION SELECT dst FROM both_ways WHERE src = 'nation:7')
+SELECT DISTINCT src, dst, relation, weight FROM trade WHERE src IN (SELECT id FROM ex) OR dst IN (SELECT id FROM ex)"""
+)
+def trade_adjacent_edges(spark, base):
+    _, edges = ad.neighborhood(_adjacency(spark, base), _at(spark, "nation:7"), 2)
+    return edges
+
+
+_KEY = "lower({0}.src) || '|' || lower({0}.relation) || '|' || lower({0}.dst)"
+
+
+@query(
+    f"""WITH RECURSIVE {TRADE},
+walk AS (
+  SELECT [src, dst] AS path, [{_KEY.format('s')}] AS keys, dst, 1 AS len FROM trade s WHERE src = 'customer:1' AND dst <> 'customer:1'
+  UNION ALL
+  SELECT list_append(w.path, s.dst), list_append(w.keys, {_KEY.format('s')}), s.dst, w.len + 1 FROM walk w JOIN trade s ON s.src = w.dst
+  WHERE w.len < 4 AND w.dst <> 'region:2' AND NOT list_contains(w.path, s.dst))
+SELECT array_to_string(path, '>') AS path, array_to_string(keys, '>') AS relationships, CAST(len AS INTEGER) AS length FROM walk WHERE dst = 'region:2'"""
+)
+def trade_relationship_paths(spark, base):
+    """Paths with the relationships they follow."""
+    paths = ad.relationship_paths(_adjacency(spark, base), "customer:1", "region:2", 4)
+    return paths.select(F.array_join("path", ">").alias("path"), F.array_join(ad.path_keys(F.col("edges")), ">").alias("relationships"), "length")
+
+
+@query(
+    f"""WITH {TRADE}, ends AS (SELECT src AS id, dst AS star FROM trade WHERE relation = 'located_in' UNION ALL SELECT DISTINCT dst, dst FROM trade WHERE relation = 'located_in')
+SELECT id, min(id) OVER (PARTITION BY star) AS community FROM ends"""
+)
+def trade_star_communities(spark, base):
+    """Customers and suppliers of a nation: stars, of which each is one community."""
+    return co.louvain(src.trade_edges(spark, base).where("relation = 'located_in'"))
+
+
+@query(
+    f"""WITH {TRADE}, places AS (SELECT * FROM trade WHERE relation = 'part_of' OR relation = 'located_in' AND src LIKE 'supplier:%'),
+ends AS (SELECT src, dst, weight AS w FROM places UNION ALL SELECT dst, src, weight FROM places),
+kinds AS (SELECT split_part(src, ':', 1) AS a, split_part(dst, ':', 1) AS b, w FROM ends),
+whole AS (SELECT sum(w) AS m FROM ends), tot AS (SELECT a, sum(w) AS t FROM kinds GROUP BY a)
+SELECT (SELECT count(DISTINCT src) FROM ends) AS nodes,
+  round((SELECT coalesce(sum(w), 0) FROM kinds WHERE a = b) / m - (SELECT sum(t * t) FROM tot) / (m * m), 9) AS kind_modularity, true AS higher, true AS connected FROM whole"""
+)
+def trade_communities(spark, base):
+    """Communities of suppliers, nations and regions: all nodes have one, modularity is higher than by kind of node, and every
+    node of a community of several has an edge inside it."""
+    placed = (F.col("relation") == "part_of") | ((F.col("relation") == "located_in") & F.startswith("src", F.lit("supplier:")))
+    edges = checkpointed(src.trade_edges(spark, base).where(placed))
+    communities = checkpointed(co.louvain(edges))
+    by_kind = communities.select("id", F.split_part("id", F.lit(":"), F.lit(1)).alias("community"))
+    found, plain = co.modularity(edges, communities), co.modularity(edges, by_kind)
+    inside = edges.join(communities.withColumnsRenamed({"id": "src", "community": "a"}), "src").join(communities.withColumnsRenamed({"id": "dst", "community": "b"}), "dst").where("a = b")
+    linked = inside.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("linked", F.lit(True))
+    sizes = communities.join(linked, "id", "left").groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("linked").isNull()).alias("alone"))
+    counted = sizes.agg(F.sum("n").alias("nodes"), F.bool_and((F.col("n") == 1) | (F.col("alone") == 0)).alias("connected"))
+    # Each side has one row.
+    both = counted.join(F.broadcast(plain.withColumnRenamed("modularity", "plain"))).join(F.broadcast(found))
+    return both.select("nodes", F.round("plain", 9).alias("kind_modularity"), (F.col("modularity") > F.col("plain")).alias("higher"), "connected")
+
+
 @query(
     f"""WITH {_NODES.replace("'supplier', s_suppkey", "' Unknown ', s_suppkey")}
 SELECT trim(entity_type) AS legend_type, CAST(row_number() OVER (ORDER BY count(*) DESC, min(seq)) AS INTEGER) AS slot, count(*) AS nodes

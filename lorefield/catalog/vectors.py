@@ -8,8 +8,9 @@ from lorefield.catalog.sqlparts import words
 from lorefield.functions import vectors as vf
 from lorefield.operators import retrieve as rt
 from lorefield.operators import vector as ve
+from lorefield.operators import vector_index as vi
 from lorefield.operators.skew import lookup_join
-from lorefield.session import apply_semantics, table
+from lorefield.session import apply_semantics, shared_folder, table
 
 QUERIES = {}
 ORACLES = {}
@@ -56,6 +57,14 @@ def vector_topk_by_label(spark, base):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["vector_topk_by_label"])
+def vector_index_topk(spark, base):
+    """The same search over a stored index, which opens only cells that can hold one of the best."""
+    index = vi.create_index(_embeddings(spark, base), shared_folder(spark, "index"), dim=64)
+    found = vi.search_index(index, _centroids(spark, base), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 PROBE = [1.0 / (i + 1) for i in range(64)]
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorefield.functions.text import content_hash, py_strip
+from lorefield.plans.ingest import IndexOptions
+from lorefield.plans.store import Store, add_batch
 
 PART = "hash_part"
 PART_DIGITS = 2
@@ -57,3 +59,22 @@ def drain(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
+
+
+def index_batches(store: Store, date_added: Column, options: IndexOptions = IndexOptions()):
+    """foreachBatch writer: every micro-batch (seq, file_name, source_type, text) goes whole into the stored base or not at all.
+
+    Contents that are stored already, by whatever batch, are only looked up, so a replayed batch changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = Store(batch.sparkSession, store.base, store.parts)
+        add_batch(own, batch, date_added, options, track_id=f"batch-{batch_id}")
+
+    return write
+
+
+def index_to_end(stream: DataFrame, store: Store, checkpoint: str, date_added: Column, options: IndexOptions = IndexOptions()) -> None:
+    """Index what the source holds now; the source's `maxFilesPerTrigger` bounds a batch."""
+    query = stream.writeStream.foreachBatch(index_batches(store, date_added, options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
