@@ -8,7 +8,7 @@ from lorefield.catalog.sqlparts import NON_WS, WS
 from lorefield.functions import markdown as md
 from lorefield.functions import text as tx
 from lorefield.operators import uploads as up
-from lorefield.session import apply_semantics, shared_folder, table
+from lorefield.session import apply_semantics, shared_folder, table, table_stream
 from lorefield.streaming import chat as sc
 from lorefield.streaming import conversations as cv
 
@@ -47,12 +47,11 @@ def chat_history_state(spark, base):
 def chat_history_stream(spark, base):
     """The same histories, kept as state of a stream."""
     apply_semantics(spark)
-    schema = spark.read.parquet(f"{base}/conversations.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").option("maxFilesPerTrigger", "64").parquet(base)
+    stream = table_stream(spark, base, "conversations")
     folder = shared_folder(spark, "chat")
     state = cv.run_to_end(stream.select("conv_id", "turn", "role", "text"), f"{folder}/pages", f"{folder}/progress")
     lines = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return state.select(F.col("conv_id").cast(schema["conv_id"].dataType).alias("conv_id"), "page", F.array_join(lines, "\n").alias("history"), F.size("history").alias("messages"))
+    return state.select(F.col("conv_id").cast(stream.schema["conv_id"].dataType).alias("conv_id"), "page", F.array_join(lines, "\n").alias("history"), F.size("history").alias("messages"))
 
 
 @query(

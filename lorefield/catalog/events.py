@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorefield.catalog.sqlparts import norm, strip
 from lorefield.functions import text as tx
-from lorefield.session import apply_semantics, shared_folder, table
+from lorefield.session import apply_semantics, shared_folder, table, table_stream
 from lorefield.streaming import ingest as si
 from lorefield.streaming import pacing as pa
 
@@ -169,8 +169,7 @@ def model_lookup(spark, base):
 def stream_ingest_dedup(spark, base):
     """The documents as a stream, drained into a table that holds every content hash once."""
     apply_semantics(spark)
-    schema = spark.read.parquet(f"{base}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", "64").parquet(base)
+    stream = table_stream(spark, base, "documents")
     minutes = F.pmod(F.col("doc_id") * 7919, F.lit(100_003)) * 60
     arrived = stream.select("doc_id", "text", F.timestamp_seconds(F.lit(1_704_067_200) + minutes).alias("arrived_at"))
     folder = shared_folder(spark, "ingest")
@@ -182,8 +181,7 @@ def stream_ingest_dedup(spark, base):
 def stream_token_bucket(spark, base):
     """The same pacing as token_bucket_by_model, kept as state of a stream."""
     apply_semantics(spark)
-    schema = spark.read.parquet(f"{base}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", "64").parquet(base)
+    stream = table_stream(spark, base, "events")
     ts = F.col("ts").cast("timestamp")
     requests = stream.select(
         ts.alias("ts"),

@@ -15,7 +15,7 @@ from lorefield.operators import vector as ve
 from lorefield.plans import ask
 from lorefield.plans.store import Store, add_batch, remove_documents
 from lorefield.streaming.ingest import index_to_end
-from lorefield.session import checkpointed, shared_folder, table
+from lorefield.session import checkpointed, shared_folder, table, table_stream
 
 QUERIES = {}
 ORACLES = {}
@@ -366,8 +366,7 @@ SELECT key, arg_min(type, (-n, type)) AS entity_type, CAST(sum(n) AS BIGINT) AS
 )
 def stream_kb_entities(spark, base):
     """Entities of a base that a stream of documents has filled."""
-    schema = spark.read.parquet(f"{base}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", "64").parquet(base)
+    stream = table_stream(spark, base, "documents")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     uploads = stream.select(F.col("doc_id").alias("seq"), name.alias("file_name"), F.lit("text").alias("source_type"), "text")
     folder = shared_folder(spark, "base")

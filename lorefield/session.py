@@ -47,6 +47,12 @@ def table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame
     return df.select(*columns) if columns else df
 
 
+def table_stream(spark: SparkSession, base: str, name: str, files: int = 64) -> DataFrame:
+    """One parquet table as a stream of its files, at most `files` a batch; the table may be one file or a folder of them."""
+    path = f"{base.rstrip('/')}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names; a temporary one is made only for a local master."""
     context = spark.sparkContext
