@@ -58,6 +58,7 @@ TEASERS = frozenset("teaser card preview excerpt comment comments reply promo sp
 HOLDS_PAGE = frozenset("form header nav".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+LOOSE = re.compile(r"<(?:!(?!\[CDATA\[)|\?)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -128,6 +129,12 @@ def _confirmed(blocks: list[Block], mains: set[int]) -> list[Block]:
     return blocks
 
 
+def _untagged(rest: str) -> str:
+    """The end of a page that holds no complete tag, up to a comment or declaration that is never closed."""
+    cut = LOOSE.search(rest)
+    return rest[: cut.start() if cut else None].replace("<![CDATA[", "")
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order. Unclosed, stray and cut-off markup is taken as browsers do: a closing tag closes what
     is open inside it, and a block closes an open paragraph."""
@@ -160,13 +167,17 @@ def blocks_of(page: str) -> list[Block]:
         if text and not (stack[-1].other and stack[-1].tag in RAW):
             texts.append((text, stack[-1].link))
 
+    # Behind the last > no tag is complete: looking for one there would read the rest of the page for every <.
+    last = page.rfind(">") + 1
     while at < len(page):
-        found = TAG.search(page, at)
+        found = TAG.search(page, at, last) if at < last else None
         if not found:
-            add(page[at:])
+            add(_untagged(page[at:]))
             break
         add(page[at : found.start()])
         at = found.end()
+        if found[0].startswith("<!--") and not found[0][4:].endswith("-->"):
+            break
         name = found[2]
         if not name:
             continue
