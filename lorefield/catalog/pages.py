@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lorefield.catalog.sqlparts import WS, lit, strip, words
 from lorefield.functions import urls, web
 from lorefield.functions.article import article_markdown_udf
+from lorefield.session import apply_semantics, shared_folder, table
+from lorefield.sources import articles as ar
 from lorefield.sources import web as sw
-from lorefield.session import apply_semantics, table
 
 QUERIES = {}
 ORACLES = {}
@@ -228,3 +229,32 @@ SELECT page_id, host, CAST(t - p AS DOUBLE) AS gap_seconds, coalesce(t - p < 30,
 def crawl_politeness(spark, base):
     crawled = _pages(spark, base, "page_id", "url").withColumn("crawled_at", _crawl_time(F.col("page_id")))
     return sw.politeness(crawled, min_delay=30.0, segment="minute")
+
+
+@query(
+    rf"""WITH t AS (SELECT page_id, url, {_KEY} AS key, url LIKE 'https:%' AS early, url NOT LIKE '%.html' AND length({strip('html')}) >= 200 AS scraped, {_TITLE} AS title, {_TEXT} AS body FROM pages),
+c AS (SELECT *, regexp_replace(body, '(?ims)^(?:#{{1,3}}\s*)?({_MARKERS})\b.*', '') AS cut FROM t),
+p AS (SELECT *, CASE WHEN coalesce(title, '') <> '' AND NOT contains(substr(cut, 1, 300), title) THEN '# ' || title || chr(10) || chr(10) || cut ELSE cut END AS full_text FROM c),
+a AS (SELECT *, {strip("regexp_replace(full_text, '" + WS + "?" + chr(92) + "[[0-9]{1,3}" + chr(92) + "]', '', 'g')")} AS article FROM p),
+once AS (SELECT key, min(page_id) AS page_id FROM a WHERE early GROUP BY key),
+held AS (SELECT once.* FROM once JOIN a USING (page_id) WHERE article <> ''),
+f AS (SELECT key, coalesce(any_value(held.page_id), min(a.page_id)) AS page_id, count(held.page_id) > 0 AS held FROM a LEFT JOIN held USING (key) GROUP BY key),
+got AS (SELECT f.key, f.page_id AS first_id, f.held, x.url AS first_url, x.title, x.scraped, x.article FROM f JOIN a x ON x.page_id = f.page_id)
+SELECT a.page_id AS seq, a.url, CASE WHEN g.article <> '' THEN md5(g.article) END AS text_md5, CASE WHEN g.article <> '' THEN g.title END AS title,
+  CASE WHEN g.article <> '' THEN CASE WHEN g.scraped THEN 'article_zenrows' ELSE 'article' END END AS source_type,
+  g.article <> '' AND (g.held OR a.page_id <> g.first_id) AS cached, CASE WHEN g.article = '' THEN 'No article content extracted from: ' || g.first_url END AS error
+FROM a JOIN got g USING (key)"""
+)
+def article_source(spark, base):
+    """Pages asked for in two batches over one cache: the https ones, then all. Addresses ending in .html time out at the scraper
+    and are fetched directly."""
+    pages = _pages(spark, base)
+    url = F.col("url")
+    late = F.when(url.endswith(".html"), "timeout")
+    attempts = pages.select("url", F.lit(1).alias("attempt"), "html", late.alias("error"))
+    direct = pages.select("url", "html")
+    requests = pages.select(F.col("page_id").alias("seq"), "url")
+    cache = ar.ArticleCache(spark, shared_folder(spark, "articles"))
+    for asked in (requests.where(url.startswith("https:")), requests):
+        rows = ar.articles(cache, asked, attempts, direct, F.lit("2024-01-01T00:00:00+00:00"), markdown=web.page_text)
+    return rows.select("seq", "url", F.md5("text").alias("text_md5"), "title", "source_type", "cached", "error")
