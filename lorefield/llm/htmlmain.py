@@ -350,7 +350,10 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", least_page
     have no template, and their pages rest on markup alone. Repeated rows count as pages of their own. A column `text` is
     replaced.
     """
-    named = pages.select(F.struct("*").alias("_page"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
+    # The page itself is moved once: the other columns travel beside it.
+    others = {c: f"c{i}" for i, c in enumerate(pages.columns) if c != page}
+    rest = F.struct(F.lit(0).alias("_"), *(pages[c].alias(place) for c, place in others.items()))
+    named = pages.select(rest.alias("_page"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
     found = templates(named.select("host", "html"), least_pages).where(F.size("words") > 0)
     fixed = found.groupBy("host").agg(F.collect_list("words").alias("fixed"))
 
@@ -362,8 +365,8 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", least_page
                 if host not in at:
                     at = {host: {(w["under"], w["word"]) for words in known or () for w in words}}
                 texts.append(_text(text or "", at[host]))
-            yield with_columns(part.select(["_page"]), {"text": pa.array(texts, pa.string())})
+            yield with_columns(part.select(["_page", "html"]), {"text": pa.array(texts, pa.string())})
 
-    kept = T.StructType([named.schema["_page"], T.StructField("text", T.StringType())])
+    kept = T.StructType([named.schema["_page"], named.schema["html"], T.StructField("text", T.StringType())])
     texts = named.join(fixed, "host", "left").mapInArrow(run, kept)
-    return texts.select(*(F.col("_page")[c].alias(c) for c in pages.columns if c != "text"), "text")
+    return texts.select(*((F.col("html") if c == page else F.col("_page")[others[c]]).alias(c) for c in pages.columns if c != "text"), "text")
