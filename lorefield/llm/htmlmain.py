@@ -146,16 +146,17 @@ def blocks_of(page: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal texts
-        top = stack[-1]
-        block = Block(top.path, top.article, top.other, marks=top.marks)
-        joined = "".join(t for t, _ in texts)
+        if not texts:
+            return
+        joined = "".join([t for t, _ in texts])
         if "&" in joined:
             joined = html.unescape(joined)
-        block.words = joined.split()
-        if block.words:
-            inside = html.unescape("".join(t for t, link in texts if link))
-            block.linked = len(inside.split())
-            blocks.append(block)
+        words = joined.split()
+        if words:
+            top = stack[-1]
+            inside = "".join([t for t, link in texts if link])
+            linked = len(html.unescape(inside).split()) if inside else 0
+            blocks.append(Block(top.path, top.article, top.other, words, linked, top.marks))
         texts = []
 
     def close(upto: int) -> None:
