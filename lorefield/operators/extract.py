@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorefield.functions.arrays import explode_rows, let, let_all, scan
-from lorefield.functions.sentences import sentence_spans, windows
+from lorefield.functions.sentences import sentence_pieces, sentence_spans, windows
 from lorefield.functions.text import (
     MAX_DESCRIPTION_CHARS,
     casefold,
@@ -153,7 +153,8 @@ def kept_entities(mentions: Column) -> Column:
         firsts = F.transform(
             F.array_distinct(keys), lambda k: F.element_at(mentions, F.array_position(keys, k).cast("int"))
         )
-        ordered = F.array_sort(
+        # The native order of structs: `array_sort` would call a lambda for every comparison.
+        ordered = F.sort_array(
             F.transform(firsts, lambda m, i: F.struct((-m["score"]).alias("o"), i.alias("i"), m.alias("m")))
         )
         return F.transform(F.slice(ordered, 1, MAX_ENTITIES_PER_CHUNK), lambda r: r["m"])
@@ -246,14 +247,14 @@ def extract_records(
     and everything stays in the JVM; `threshold=None` trusts the predictor's own cut.
     """
     if predictor is None:
-        done = chunks.withColumn("_rec", _shape_records(chunks.sparkSession.sparkContext.applicationId, content, threshold))
-    else:
-        text = F.col(content)
-        staged = chunks.withColumn("_spans", sentence_spans(text))
-        staged = staged.withColumn("_windows", windows(text, F.col("_spans")))
-        staged = staged.withColumn("_found", predictor(F.transform("_windows", lambda w: w["text"])))
-        parts = [F.col("_spans"), F.col("_windows"), F.col("_found")]
-        done = staged.withColumn("_rec", let_all(parts, lambda *p: _records_from(text, threshold, *p)))
+        found, entities, relationships = _shape_records(chunks.sparkSession.sparkContext.applicationId, content, threshold)
+        return chunks.withColumn("_found", found).select(*chunks.columns, entities.alias("entities"), relationships.alias("relationships"))
+    text = F.col(content)
+    staged = chunks.withColumn("_spans", sentence_spans(text))
+    staged = staged.withColumn("_windows", windows(text, F.col("_spans")))
+    staged = staged.withColumn("_found", predictor(F.transform("_windows", lambda w: w["text"])))
+    parts = [F.col("_spans"), F.col("_windows"), F.col("_found")]
+    done = staged.withColumn("_rec", let_all(parts, lambda *p: _records_from(text, threshold, *p)))
     return done.select(
         *chunks.columns, F.col("_rec.entities").alias("entities"), F.col("_rec.relationships").alias("relationships")
     )
@@ -264,14 +265,121 @@ def _records_from(text: Column, threshold: float | None, spans: Column, wins: Co
 
 
 @lru_cache(maxsize=8)
-def _shape_records(application: str, content: str, threshold: float | None) -> Column:
-    """The all-JVM expression; it is long, so it is put together once per application and column."""
-    text = F.col(content)
+def _shape_records(application: str, content: str, threshold: float | None) -> tuple[Column, Column, Column]:
+    """The all-JVM expressions: what is found in the chunk, and its entities and relationships as read from that `_found`.
+
+    They are long, so they are put together once per application and column. A query that asks for one of the two lists
+    does not compute the other.
+    """
+    found = let(
+        shape_sentences(F.col(content), threshold),
+        lambda sents: F.struct(sents.alias("sents"), kept_entities(_placed_mentions(sents)).alias("kept")),
+    )
+    entities = let(F.col("_found"), lambda f: _sentence_entities(f["sents"], f["kept"]))
+    relationships = let(F.col("_found"), lambda f: _sentence_relationships(f["sents"], f["kept"]))
+    return found, entities, relationships
+
+
+def shape_sentences(text: Column, threshold: float | None) -> Column:
+    """Sentences that hold mentions: array<struct<body, piece, found, ms>>.
+
+    No shape crosses a sentence end and no sentence begins inside a word, so reading sentence by sentence finds what the
+    packed windows would. `found` are all matches in the piece; `ms` the chosen ones with their number among them.
+    """
+
+    def one(piece: Column) -> Column:
+        return let(F.regexp_extract_all(piece, F.lit(_AT_WORD_START), F.lit(0)), lambda found: F.struct(piece.alias("piece"), found.alias("found"), chosen(found).alias("ms")))
+
+    def chosen(found: Column) -> Column:
+        labelled = F.transform(
+            found,
+            lambda m, i: let(shape_label(m), lambda label: F.struct(i.alias("i"), m.alias("text"), label.alias("label"), shape_score(label).alias("score"))),
+        )
+        return accepted(labelled, threshold) if threshold is not None else labelled
+
+    def named(m: Column) -> Column:
+        return let(
+            clean_name(m["text"]),
+            lambda name: F.struct(m["i"].alias("i"), name.alias("name"), casefold(name).alias("key"), m["label"].alias("label"), m["score"].alias("score")),
+        )
+
+    holding = F.filter(F.transform(sentence_pieces(text), one), lambda s: F.size(s["ms"]) > 0)
+    return F.transform(
+        holding, lambda s: F.struct(py_strip(s["piece"]).alias("body"), s["piece"].alias("piece"), s["found"].alias("found"), F.transform(s["ms"], named).alias("ms"))
+    )
+
+
+def _placed_mentions(sents: Column) -> Column:
+    """Mentions of all sentences in order, each with the number of its sentence."""
+    return F.flatten(
+        F.transform(
+            sents,
+            lambda s, n: F.transform(
+                s["ms"], lambda m: F.struct(n.alias("n"), m["name"].alias("name"), m["key"].alias("key"), m["label"].alias("label"), m["score"].alias("score"))
+            ),
+        )
+    )
 
-    # No shape crosses a sentence end, so one window over the whole chunk finds what the packed windows would.
-    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("text")))
-    found = F.array(shape_mentions(text))
-    return let_all([sentence_spans(text), whole, found], lambda *parts: _records_from(text, threshold, *parts))
+
+def _sentence_entities(sents: Column, kept: Column) -> Column:
+    return F.transform(
+        kept,
+        lambda m: F.struct(
+            m["name"].alias("name"), m["label"].alias("type"), mention_description(F.element_at(sents, m["n"] + 1)["body"], m["name"]).alias("description")
+        ),
+    )
+
+
+def _sentence_relationships(sents: Column, kept: Column) -> Column:
+    """Pairs of kept entities inside one sentence, as `sentence_pairs` chooses them."""
+
+    def eligible(ms: Column, keys: Column) -> Column:
+        mine = F.when(F.size(keys) < MAX_ENTITIES_PER_CHUNK, ms).otherwise(F.filter(ms, lambda m: F.array_contains(keys, m["key"])))
+        return let(mine, _first_of_each)
+
+    def places(s: Column) -> Column:
+        """Start and end of every match in the piece."""
+        gaps = F.slice(F.split(s["piece"], _AT_WORD_START), 1, F.size(s["found"]))
+        steps = F.zip_with(gaps, s["found"], lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n")))
+        return scan(
+            steps, F.lit(0), "struct<s:int,e:int>", lambda at, p: (F.struct((at + p["gap"]).alias("s"), (at + p["gap"] + p["n"]).alias("e")), at + p["gap"] + p["n"])
+        )
+
+    def related(s: Column, ms: Column, by_key: Column) -> Column:
+        pairs = lambda at: F.transform(
+            _all_pairs(ms),
+            lambda p: F.struct(
+                F.element_at(by_key, p["a"]["key"]).alias("source"),
+                F.element_at(by_key, p["b"]["key"]).alias("target"),
+                keywords_between(s["piece"], F.element_at(at, p["a"]["i"] + 1)["e"], F.element_at(at, p["b"]["i"] + 1)["s"]).alias("keywords"),
+                F.substring(s["body"], 1, MAX_DESCRIPTION_CHARS).alias("description"),
+            ),
+        )
+        return let(places(s), pairs)
+
+    def build(keys: Column, by_key: Column) -> Column:
+        several = F.filter(sents, lambda s: F.size(s["ms"]) > 1)
+        chosen = F.transform(several, lambda s: F.struct(s.alias("s"), eligible(s["ms"], keys).alias("ms")))
+        return F.flatten(F.transform(F.filter(chosen, lambda c: F.size(c["ms"]) > 1), lambda c: related(c["s"], c["ms"], by_key)))
+
+    every = let(
+        F.transform(kept, lambda m: m["key"]),
+        lambda keys: let(F.map_from_arrays(keys, F.transform(kept, lambda m: m["name"])), lambda by_key: build(keys, by_key)),
+    )
+    return F.slice(every, 1, MAX_RELATIONS_PER_CHUNK)
+
+
+def _first_of_each(ms: Column) -> Column:
+    """The first mention of each key, up to the sentence's cap."""
+    keys = F.transform(ms, lambda m: m["key"])
+    firsts = let(keys, lambda ks: F.filter(ms, lambda m, i: F.array_position(ks, m["key"]) == i + 1))
+    return F.slice(firsts, 1, MAX_ENTITIES_PER_SENTENCE)
+
+
+def _all_pairs(ms: Column) -> Column:
+    return F.flatten(
+        F.transform(ms, lambda a, i: F.transform(F.slice(ms, i + 2, F.lit(MAX_ENTITIES_PER_SENTENCE)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    )
 
 
 def window_list_predictor(predict: Callable[[list[str]], list[list[dict]]]) -> Predictor:

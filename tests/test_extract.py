@@ -139,3 +139,20 @@ def test_whole_chunk_equals_packed_windows(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
     windowed = ex.extract_records(df, predictor=lambda wins: F.transform(wins, ex.shape_mentions))
     assert sorted(ex.extract_records(df).collect()) == sorted(windowed.collect())
+
+
+def test_a_query_for_one_list_does_not_compute_the_other(spark):
+    """Entities alone must not cost the pairs of every sentence."""
+    records = ex.extract_records(spark.createDataFrame([(1, "Ada Byrne met Kenji Mori.")], "id long, content string"))
+    plan = lambda *names: records.select(*names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "related to" in plan("relationships") and "related to" not in plan("entities")
+
+
+def test_numbers_of_sentences_do_not_hide_later_ones(spark):
+    """Caps hold over the whole chunk: the first five of a sentence, 40 entities and 60 pairs."""
+    names = [f"Ada{chr(97 + i // 26)}{chr(97 + i % 26)} Byrne" for i in range(60)]
+    text = " ".join("; ".join(names[i : i + 6]) + "." for i in range(0, 60, 6))
+    row = ex.extract_records(spark.createDataFrame([(1, text)], "id long, content string")).first()
+    assert [e.name for e in row.entities] == names[:40]
+    want = [(a, b) for i in range(0, 40, 6) for s in [names[i : min(i + 5, 40)]] for j, a in enumerate(s) for b in s[j + 1 :]]
+    assert [(r.source, r.target) for r in row.relationships] == want[:60] and row.relationships[0].keywords == ";"
