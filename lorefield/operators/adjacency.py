@@ -48,10 +48,11 @@ def write_adjacency(edges: DataFrame, name: str | None = None, path: str | None
     """
     spark = edges.sparkSession
     name = name or f"adjacency_{uuid.uuid4().hex}"
-    whole = edges.where("src IS NOT NULL AND dst IS NOT NULL").withColumn("edge", F.struct(*edges.columns))
-    under_source = whole.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(True).alias("forward"), "edge")
-    under_target = whole.where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(False).alias("forward"), "edge")
-    dealt = under_source.unionByName(under_target).repartition(buckets, "node")
+    # Both rows of an edge come from one pass over the edges; what follows from the edge is added after it has been dealt.
+    ways = F.when(F.col("src") == F.col("dst"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    whole = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.struct(*edges.columns).alias("edge"), F.explode(ways).alias("forward"))
+    node, other = F.when(F.col("forward"), F.col("edge.src")).otherwise(F.col("edge.dst")), F.when(F.col("forward"), F.col("edge.dst")).otherwise(F.col("edge.src"))
+    dealt = whole.repartition(buckets, node).select(node.alias("node"), other.alias("other"), "forward", "edge")
     dealt.write.mode("overwrite").option("path", path or shared_folder(spark, "adjacency")).bucketBy(buckets, "node").sortBy("node").saveAsTable(name)
     return Adjacency(spark, name)
 
@@ -73,28 +74,36 @@ def levels(adjacency: Adjacency, start: DataFrame, hops: int, forward: bool | No
 
     Every level is stored. Walked both ways, only the last two levels can be met again; else all of them can.
     """
-    found = [checkpointed(start.select("id").where("id IS NOT NULL").distinct())]
+    found = [_first_level(start)]
     for _ in range(hops):
-        beside = adjacency.at(found[-1])
-        fresh = _ids(beside if forward is None else beside.where((F.col("forward") if forward else ~F.col("forward")) | (F.col("node") == F.col("other"))), "other")
-        for seen in found[-2:] if forward is None else found:
-            fresh = fresh.join(seen, "id", "left_anti")
-        found.append(checkpointed(fresh))
+        found.append(_next_level(adjacency.at(found[-1]), found, forward))
     return found
 
 
+def _first_level(start: DataFrame) -> DataFrame:
+    return checkpointed(start.select("id").where("id IS NOT NULL").distinct())
+
+
+def _next_level(beside: DataFrame, found: list[DataFrame], forward: bool | None) -> DataFrame:
+    """Nodes that the rows `beside` the last level lead to and no level holds yet."""
+    fresh = _ids(beside if forward is None else beside.where((F.col("forward") if forward else ~F.col("forward")) | (F.col("node") == F.col("other"))), "other")
+    for seen in found[-2:] if forward is None else found:
+        fresh = fresh.join(seen, "id", "left_anti")
+    return checkpointed(fresh)
+
+
 def neighborhood(adjacency: Adjacency, start: DataFrame, hops: int, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) within `hops` of `start` (id): nodes with their hop, without the start, and the distinct edges at every
     expanded node. With `nodes` (id, ...) the columns of those rows come along, and nodes without a row are left out."""
-    found = levels(adjacency, start, hops)
+    found = [_first_level(start)]
     reached, touching = None, None
-    for hop, level in enumerate(found):
-        if hop:
-            rows = level.withColumn("hop", F.lit(hop))
-            reached = rows if reached is None else reached.unionByName(rows)
-        if hop < hops:
-            edges = adjacency.at(level).select("edge.*")
-            touching = edges if touching is None else touching.unionByName(edges)
+    for hop in range(1, hops + 1):
+        # Read for the edges and for where they lead; the layout is passed over once.
+        beside = checkpointed(adjacency.at(found[-1]))
+        found.append(_next_level(beside, found, None))
+        rows, edges = found[-1].withColumn("hop", F.lit(hop)), beside.select("edge.*")
+        reached = rows if reached is None else reached.unionByName(rows)
+        touching = edges if touching is None else touching.unionByName(edges)
     if reached is None:
         reached, touching = found[0].withColumn("hop", F.lit(0)).where(F.lit(False)), adjacency.rows.select("edge.*").where(F.lit(False))
     return (reached if nodes is None else reached.join(nodes, "id")), touching.distinct()
@@ -121,7 +130,8 @@ def relationship_paths(adjacency: Adjacency, source: str, target: str, max_lengt
     """
     spark = adjacency.spark
     one = lambda node: spark.createDataFrame([(node,)], "id string")
-    ahead, behind = (levels(adjacency, one(node), max_length, forward) for node, forward in ((source, True), (target, False)))
+    # After a step at most max_length - 1 remain, so the last level of either side would never be asked.
+    ahead, behind = (levels(adjacency, one(node), max_length - 1, forward) for node, forward in ((source, True), (target, False)))
 
     def within(found: list[DataFrame], most: int) -> DataFrame:
         whole = found[0]
@@ -130,8 +140,8 @@ def relationship_paths(adjacency: Adjacency, source: str, target: str, max_lengt
         return whole
 
     first, second = -(-max_length // 2), max_length // 2
-    out = _halves(adjacency, source, True, first, [within(behind, max_length - i) for i in range(first + 1)])
-    back = _halves(adjacency, target, False, second, [within(ahead, max_length - i) for i in range(second + 1)])
+    out = _halves(adjacency, source, True, first, [within(behind, max_length - max(i, 1)) for i in range(first + 1)])
+    back = _halves(adjacency, target, False, second, [within(ahead, max_length - max(i, 1)) for i in range(second + 1)])
     paths = None
     for length in range(1, max_length + 1) if source != target else ():
         # The walk from the source takes the extra step of an odd length.

@@ -107,3 +107,24 @@ def test_keys_of_a_path(spark):
     store = ad.write_adjacency(spark.createDataFrame([("A", "B", "Owns", 1.0)], COLUMNS), buckets=2)
     paths = ad.relationship_paths(store, "A", "B", 1)
     assert paths.select(ad.path_keys(F.col("edges")).alias("k")).first().k == ["a|owns|b"]
+
+
+def test_edges_are_computed_once_for_both_ends(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        seen.add(1)
+        return x
+
+    edges = spark.createDataFrame(random_edges(8), COLUMNS).withColumn("relation", F.udf(mark)("relation"))
+    store = ad.write_adjacency(edges, buckets=4)
+    assert seen.value == len(random_edges(8))
+    assert store.rows.where("forward").count() == len(random_edges(8)) and store.rows.where("node <> IF(forward, edge.src, edge.dst)").count() == 0
+
+
+def test_the_last_level_is_not_walked(spark, monkeypatch):
+    walked = []
+    plain = ad.levels
+    monkeypatch.setattr(ad, "levels", lambda adjacency, start, hops, forward=None: walked.append(hops) or plain(adjacency, start, hops, forward))
+    store = ad.write_adjacency(spark.createDataFrame([("a", "b", "r", 1.0), ("b", "c", "r", 1.0), ("c", "d", "r", 1.0)], COLUMNS), buckets=2)
+    assert [r.path for r in ad.relationship_paths(store, "a", "d", 3).collect()] == [["a", "b", "c", "d"]] and walked == [2, 2]
