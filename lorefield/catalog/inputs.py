@@ -9,7 +9,7 @@ from lorefield.operators import chunks as ch
 from lorefield.operators import extract as ex
 from lorefield.operators import manifest as mf
 from lorefield.functions.text import casefold, content_hash, py_strip
-from lorefield.session import apply_semantics, table
+from lorefield.session import apply_semantics, in_even_parts, table
 
 EXTENSION_BY_LANG = {"en": ".txt", "fr": ".md", "de": ".PDF", "es": ".docx"}
 BASE_TIME = "2024-01-01 00:00:00"
@@ -134,14 +134,18 @@ def trade_edges(spark: SparkSession, base: str) -> DataFrame:
     nations = table(spark, base, "nation", "n_nationkey", "n_regionkey").select(
         node("nation", "n_nationkey").alias("src"), node("region", "n_regionkey").alias("dst"), F.lit("part_of").alias("relation"), F.lit(1.0).alias("weight")
     )
+    size = lines.count()
+    ordered = in_even_parts(orders, size, "o_orderkey").join(in_even_parts(lines, size, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    # Hardly a pair comes twice in one task, so nothing is gained by counting before the rows are dealt by pair.
     bought = (
-        orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+        in_even_parts(ordered.select("o_custkey", "l_partkey"), size, "o_custkey", "l_partkey")
         .groupBy("o_custkey", "l_partkey")
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
         .select(node("customer", "o_custkey").alias("src"), node("part", "l_partkey").alias("dst"), F.lit("bought").alias("relation"), "weight")
     )
     supplied = (
-        lines.groupBy("l_partkey", "l_suppkey")
+        in_even_parts(lines.select("l_partkey", "l_suppkey"), size, "l_partkey", "l_suppkey")
+        .groupBy("l_partkey", "l_suppkey")
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
         .select(node("part", "l_partkey").alias("src"), node("supplier", "l_suppkey").alias("dst"), F.lit("supplied_by").alias("relation"), "weight")
     )

@@ -10,7 +10,7 @@ from lorefield.functions import text as tx
 from lorefield.operators import adjacency as ad
 from lorefield.operators import communities as co
 from lorefield.operators import graph as gr
-from lorefield.session import checkpointed, table
+from lorefield.session import ROWS_A_TASK, checkpointed, table
 
 QUERIES = {}
 ORACLES = {}
@@ -126,7 +126,9 @@ def trade_paths_4(spark, base):
 
 
 def _adjacency(spark, base):
-    return ad.write_adjacency(src.trade_edges(spark, base))
+    # An edge has two rows, and a bucket's rows are sorted by one task.
+    size = 2 * table(spark, base, "lineitem", "l_orderkey").count()
+    return ad.write_adjacency(src.trade_edges(spark, base), buckets=max(ad.BUCKETS, -(-size // (2 * ROWS_A_TASK))))
 
 
 def _at(spark, *names):
