@@ -305,6 +305,13 @@ def hybrid_knowledge_budget(spark, base):
     )
 
 
+def _english_first(spark, base, docs):
+    """The documents whose id an English one has, and the others. Read several times, so their texts are dealt once and stored."""
+    english = table(spark, base, "documents", "doc_id", "lang").where("lang = 'en'").select(F.col("doc_id").alias("seq")).distinct()
+    marked = checkpointed(docs.join(english.withColumn("_english", F.lit(True)), "seq", "left"))
+    return marked.where("_english").drop("_english"), marked.where("_english IS NULL").drop("_english")
+
+
 @query(
     f"""{text_graph()},
 bad AS (SELECT DISTINCT sha256({norm(strip('text'))}) AS h FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
@@ -321,15 +328,14 @@ SELECT 'document', sha256({norm(strip('text'))}), NULL, 1.0 FROM uniq WHERE doc_
 def kb_life_cycle(spark, base):
     """All documents in two batches, the second one twice, then the toxic ones deleted: what the stored base holds."""
     docs = src.incoming(spark, base).withColumn("file_name", F.concat_ws("-", "seq", "file_name"))
-    english = table(spark, base, "documents", "doc_id", "lang").where("lang = 'en'").select(F.col("doc_id").alias("seq"))
-    batches = [docs.join(english, "seq", "left_semi"), docs.join(english, "seq", "left_anti")]
+    batches = _english_first(spark, base, docs)
     base_tables = Store(spark, shared_folder(spark, "base"))
     when = F.lit(src.BASE_TIME).cast("timestamp")
     for batch in (batches[0], batches[1], batches[1]):
         add_batch(base_tables, batch, when)
     toxic = table(spark, base, "labels", "doc_id", "toxic").where("toxic = 1").select(F.col("doc_id").alias("seq"))
-    hashes = docs.join(toxic, "seq", "left_semi").select(tx.doc_id_from_hash(tx.content_hash(tx.py_strip(F.col("text")))).alias("doc_id"))
-    remove_documents(base_tables, hashes)
+    hashes = docs.select("seq", tx.doc_id_from_hash(tx.content_hash(tx.py_strip(F.col("text")))).alias("doc_id"))
+    remove_documents(base_tables, hashes.join(toxic, "seq", "left_semi").select("doc_id"))
     entities, edges, manifest = (base_tables.load(n) for n in ("entities", "edges", "manifest"))
     return (
         entities.select(F.lit("entity").alias("part"), F.col("key").alias("a"), F.col("entity_type").alias("b"), F.col("mentions").cast("double").alias("n"))
@@ -351,12 +357,12 @@ SELECT 'added' AS change, * FROM (SELECT * FROM s2 EXCEPT SELECT * FROM s1) UNIO
 def kb_change_feed(spark, base):
     """What the second of two batches changes in the stored entities, from the runs that the two snapshots do not share."""
     docs = src.incoming(spark, base).withColumn("file_name", F.concat_ws("-", "seq", "file_name"))
-    english = table(spark, base, "documents", "doc_id", "lang").where("lang = 'en'").select(F.col("doc_id").alias("seq"))
+    batches = _english_first(spark, base, docs)
     base_tables = Store(spark, shared_folder(spark, "base"))
     when = F.lit(src.BASE_TIME).cast("timestamp")
-    add_batch(base_tables, docs.join(english, "seq", "left_semi"), when)
+    add_batch(base_tables, batches[0], when)
     first = base_tables.latest()
-    add_batch(base_tables, docs.join(english, "seq", "left_anti"), when)
+    add_batch(base_tables, batches[1], when)
     return base_tables.changes("entities", first).select("change", "key", "entity_type", "mentions")
 
 

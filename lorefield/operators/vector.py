@@ -23,6 +23,8 @@ EMBEDDING_DIM = 384
 SCORE_DIGITS = 9
 # Query vectors held by one task: 4096 x 384 doubles are 12 MB.
 QUERY_BLOCK = 4096
+# Texts of one model call.
+EMBED_ROWS = 512
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -131,13 +133,15 @@ def hashing_embedder(dim: int = EMBEDDING_DIM) -> Embedder:
 
 
 def embed(df: DataFrame, text: str = "content", out: str = "embedding", embedder: Embedder | None = None) -> DataFrame:
-    """Add vectors with one model call per Arrow batch; the embedder is loaded once per Python worker."""
+    """Add vectors with one model call per EMBED_ROWS texts; the embedder is loaded once per Python worker."""
     model = embedder or hashing_embedder()
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # A batch's vectors leave block by block: together they are many times larger than its texts.
         for batch in batches:
-            yield pd.Series(list(model([t or "" for t in batch])))
+            for at in range(0, len(batch), EMBED_ROWS):
+                yield pd.Series(list(model([t or "" for t in batch.iloc[at : at + EMBED_ROWS]])))
 
     return df.withColumn(out, run(F.col(text)))
 

@@ -166,12 +166,16 @@ class Change:
     def load(self, name: str, parts: Iterable[int] | None = None) -> DataFrame:
         return self.tables._load(name, self.state, parts)
 
-    def _write(self, name: str, rows: DataFrame) -> tuple[str, list[int]]:
+    def holds(self, name: str, parts: Iterable[int]) -> bool:
+        """Whether one of these parts has a run."""
+        return any(self.state.get(name, {}).get(str(part)) for part in parts)
+
+    def _write(self, name: str, rows: DataFrame, in_place: bool = False) -> tuple[str, list[int]]:
         run, tables = uuid.uuid4().hex, self.tables
         folder = f"{tables.base}/{name}/run={run}"
         dealt = tables.shaped(rows, name).withColumn("part", tables.part_of(name))
         # Parts are files of even size: a large part is split, small ones share a task.
-        dealt.hint("rebalance", "part").write.partitionBy("part").parquet(folder)
+        (dealt if in_place else dealt.hint("rebalance", "part")).write.partitionBy("part").parquet(folder)
         return run, [int(n.removeprefix("part=")) for n in tables._names(name, f"run={run}") if n.startswith("part=")]
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -180,10 +184,14 @@ class Change:
         for part in found:
             self.state.setdefault(name, {}).setdefault(str(part), []).append(run)
 
-    def rewrite(self, name: str, rows: DataFrame, parts: Iterable[int]) -> None:
-        """Let `rows` be all that these parts hold; rows of other parts are refused. Other parts keep their files."""
+    def rewrite(self, name: str, rows: DataFrame, parts: Iterable[int], in_place: bool = False) -> None:
+        """Let `rows` be all that these parts hold; rows of other parts are refused. Other parts keep their files.
+
+        `in_place`: the rows are a choice of those that lie in the parts, so every task writes what it has read, and nothing
+        is shuffled.
+        """
         parts = set(parts)
-        run, found = self._write(name, rows)
+        run, found = self._write(name, rows, in_place)
         if not parts.issuperset(found):
             raise ValueError(f"Rows of {name} belong to parts {sorted(set(found) - parts)}, which are not rewritten.")
         held = self.state.setdefault(name, {})

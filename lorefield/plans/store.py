@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lorefield.operators import graph as gr
 from lorefield.operators import manifest as mf
+from lorefield.operators import vector as ve
 from lorefield.plans.ingest import IndexOptions, ingest
 from lorefield.plans.snapshots import PARTS, Change, Tables
 from lorefield.schemas import DOC_STATUS, MANIFEST
@@ -59,7 +60,12 @@ def _merge_again(change: Change, keys: DataFrame, ends: DataFrame) -> None:
         parts = tables.parts_in(name, wanted)
         if not parts:
             continue
-        merged = tables.shaped(merge(change.load(rows, parts).join(wanted, by, "left_semi")), name)
+        named = change.load(rows, parts)
+        if not change.holds(name, parts):
+            # Nothing merged there yet, so every key there is one of the wanted.
+            change.rewrite(name, merge(named), parts)
+            continue
+        merged = tables.shaped(merge(named.join(wanted, by, "left_semi")), name)
         change.rewrite(name, change.load(name, parts).join(wanted, by, "left_anti").unionByName(merged), parts)
 
 
@@ -82,10 +88,10 @@ def add_batch(store: Store, incoming: DataFrame, date_added: Column, options: In
     out = ingest(incoming.join(rejected.select("seq"), "seq", "left_anti"), manifest, date_added, options)
     indexed = checkpointed(out["manifest"])
     if not indexed.isEmpty():
-        chunks, mentions, pairs = (checkpointed(out[name]) for name in ("chunks", "mentions", "pairs"))
-        pairs = _with_ends(pairs)
+        # These are read off the stored records; writing them once more before they are dealt into parts would gain nothing.
+        chunks, mentions, pairs = out["chunks"], out["mentions"], _with_ends(out["pairs"])
         keys, ends = checkpointed(mentions.select("doc_id", "key").distinct()), checkpointed(pairs.select("doc_id", "src", "dst").distinct())
-        vectors = out["vectors"].join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+        vectors = ve.embed(chunks.select("doc_id", "chunk_id", "content"), embedder=options.embedder)
         rows = indexed.select(
             F.col("doc_id").alias("id"),
             F.lit(track_id).cast("string").alias("track_id"),
@@ -125,13 +131,13 @@ def remove_documents(store: Store, ids: DataFrame) -> DataFrame:
     for name in ("chunks", "vectors", "mentions", "pairs", "manifest", "document_keys", "document_ends"):
         own = touched.get(name, parts)
         if own:
-            change.rewrite(name, change.load(name, own).join(gone, "doc_id", "left_anti"), own)
+            change.rewrite(name, change.load(name, own).join(gone, "doc_id", "left_anti"), own, in_place=True)
     # Status rows that go: those of the documents, and refused ones under their names.
     status = change.load("status")
     stale = checkpointed(status.select("id").join(out["status"].select("id"), "id", "left_anti"))
     own = store.parts_in("status", stale)
     if own:
-        change.rewrite("status", change.load("status", own).join(stale, "id", "left_anti"), own)
+        change.rewrite("status", change.load("status", own).join(stale, "id", "left_anti"), own, in_place=True)
     _merge_again(change, keys, ends)
     change.commit()
     return outcome

@@ -115,3 +115,39 @@ def test_runs_are_joined_and_a_broken_snapshot_is_passed_over(spark):
     change = store.begin()
     change.append("t", spark.createDataFrame([(99,)], "k long"))
     assert change.commit() == 7 and store.load("t").count() == 13
+
+
+def test_a_batch_is_embedded_block_by_block(spark):
+    """Vectors of a whole Arrow batch would be held at once by every worker."""
+    texts = spark.range(3 * ve.EMBED_ROWS // 2, numPartitions=1).select(F.col("id").cast("string").alias("content"))
+    calls = ve.embed(texts, embedder=lambda batch: [[float(len(batch))]] * len(batch)).select(F.col("embedding")[0].alias("n"))
+    assert calls.count() == 3 * ve.EMBED_ROWS // 2 and calls.agg(F.max("n")).first()[0] <= ve.EMBED_ROWS
+
+
+def test_texts_are_not_stored_again_on_their_way_into_the_base(spark, monkeypatch):
+    from lorefield.plans import store as module
+
+    kept = []
+    plain = module.checkpointed
+    monkeypatch.setattr(module, "checkpointed", lambda df, *by: kept.append(df.columns) or plain(df, *by))
+    add_batch(Store(spark, shared_folder(spark, "base")), spark.createDataFrame(FIRST, COLUMNS), F.lit("2024-01-01").cast("timestamp"), OPTIONS)
+    assert kept and not any({"content", "description"} & set(columns) for columns in kept)
+
+
+def test_a_deletion_writes_rows_where_they_lie(spark, monkeypatch):
+    from lorefield.plans.snapshots import Change
+
+    when = F.lit("2024-01-01").cast("timestamp")
+    store = Store(spark, shared_folder(spark, "base"))
+    add_batch(store, spark.createDataFrame(FIRST, COLUMNS), when, OPTIONS)
+    dealt, plain = {}, Change._write
+
+    def spy(self, name, rows, in_place=False):
+        dealt[name] = not in_place
+        return plain(self, name, rows, in_place)
+
+    monkeypatch.setattr(Change, "_write", spy)
+    gone = store.load("manifest").where("file_name = 'a.txt'").select("doc_id")
+    remove_documents(store, gone)
+    assert {n for n, yes in dealt.items() if yes} <= {"entities", "edges"} and {"chunks", "vectors", "mentions", "pairs"} <= set(dealt)
+    assert store.load("chunks").count() == 1
