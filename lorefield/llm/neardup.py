@@ -190,8 +190,9 @@ def _pairs_of_small(members: DataFrame) -> DataFrame:
 
 def _first_pivots(members: DataFrame) -> DataFrame:
     """Per large bucket the member that meets most others in all its buckets, and a few chosen by hash."""
-    met = members.groupBy("cls").agg(F.sum("size").alias("weight"))
-    weighed = members.where(F.col("size") > SMALL_BUCKET).join(met, "cls")
+    # A class has at most BANDS buckets, so its weight goes to them as a list and not by a join of all memberships.
+    large = F.collect_list(F.when(F.col("size") > SMALL_BUCKET, F.col("bucket")))
+    weighed = members.groupBy("cls").agg(F.sum("size").alias("weight"), large.alias("buckets")).select("cls", "weight", F.explode("buckets").alias("bucket"))
     marks = [F.max(F.struct("weight", "cls")).alias("p0")]
     marks += [F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("mark"), "cls")).alias(f"p{i}") for i in range(1, RANDOM_PIVOTS + 1)]
     wide = weighed.groupBy("bucket").agg(*marks)
@@ -223,8 +224,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, parts: tuple[int,
 def _blocks(large: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows (bucket, left, right, side, cls, label) that bring the members outside a bucket's main part (side 0) together with
     all its members (side 1), a bounded block of each at a time."""
-    labelled = large.join(labels.toDF("cls", "component"), "cls", "left").join(reps.select("cls", "n_shingles"), "cls")
-    labelled = labelled.select("bucket", "cls", "n_shingles", F.coalesce("component", "cls").alias("label"))
+    classes = large.groupBy("cls").agg(F.collect_list("bucket").alias("buckets")).join(labels.toDF("cls", "component"), "cls", "left").join(reps.select("cls", "n_shingles"), "cls")
+    labelled = classes.select(F.explode("buckets").alias("bucket"), "cls", "n_shingles", F.coalesce("component", "cls").alias("label"))
     parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
     totals = parts.groupBy("bucket").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     count = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES)).cast("int")

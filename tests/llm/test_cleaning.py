@@ -145,3 +145,18 @@ def test_word_hashes_depend_on_the_word_alone():
     hashes = flat.word_hashes(data, start, end)
     assert [[a == b for a in hashes] for b in hashes] == [[a == b for a in words] for b in words]
     assert flat.word_hashes(data[:0], np.empty(0, int), np.empty(0, int)).size == 0
+
+
+def test_pivots_of_large_buckets_need_no_join_of_all_memberships(spark):
+    """The member with the most company is a pivot; its weight reaches the buckets without a join."""
+    sizes = {b: neardup.SMALL_BUCKET + 1 + b for b in range(4)} | {9: 2}
+    rows = [(c, b, n) for b, n in sizes.items() for c in range(n)]
+    pivots = neardup._first_pivots(spark.createDataFrame(rows, "cls long, bucket long, size long"))
+    assert "Join" not in pivots._jdf.queryExecution().executedPlan().toString()
+    got = [(r.bucket, r.pivot) for r in pivots.collect()]
+    weight = {}
+    for c, _, n in rows:
+        weight[c] = weight.get(c, 0) + n
+    assert {b for b, _ in got} == {0, 1, 2, 3} and len(set(got)) == len(got)
+    for b in range(4):
+        assert max((weight[c], c) for c, bucket, _ in rows if bucket == b)[1] in {p for bucket, p in got if bucket == b}
