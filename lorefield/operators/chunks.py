@@ -144,7 +144,8 @@ def _join_pieces(text, start, end, separator, size, overlap, measure, out) -> tu
             return at, stop
         if held and measure(held[0][0], stop) > size:
             last = held[-1][1]
-            out.append((held[0][0], last))
+            if last > held[0][0]:
+                out.append((held[0][0], last))
             while held and (measure(held[0][0], last) > overlap or measure(held[0][0], stop) > size):
                 held.popleft()
         held.append((at, stop))

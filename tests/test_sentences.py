@@ -127,3 +127,8 @@ def test_cascade_spans_cover_the_text_in_order(text, size, overlap):
     covered = {i for a, b in spans for i in range(a, b)}
     assert all(c in ".!?;, \n" for i, c in enumerate(text) if i not in covered)
     assert all((x[1] - y[0]) // 4 <= overlap for x, y in zip(spans, spans[1:]) if y[0] < x[1])
+
+
+def test_cascade_leaves_out_empty_pieces():
+    """A text that begins with a separator has nothing before it."""
+    assert ch.cascade_spans("; ;;;;;;", 1, 0) == [(2, 8)]
