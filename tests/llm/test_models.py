@@ -113,6 +113,52 @@ def test_exchange_finds_alternating_classes():
     assert len(set(label[::2])) == len(set(label[1::2])) == 1 and label[0] != label[1]
 
 
+def test_word_gains_are_those_of_moving_one_word():
+    rng = np.random.default_rng(6)
+    text, size = rng.integers(0, 12, 400), 4
+    label = rng.integers(0, size, 12)
+    pairs = np.zeros((12, 12))
+    np.add.at(pairs, (text[:-1], text[1:]), 1)
+    table = lambda label: np.eye(size)[label].T @ pairs @ np.eye(size)[label]
+    found = Counter()
+    for a, b in zip(text[:-1].tolist(), text[1:].tolist(), strict=True):
+        found.update([(b, 2 * size)] if a == b else [(a, label[b]), (b, size + label[a])])
+    word, code, n = (np.array(x) for x in zip(*((w, c, k) for (w, c), k in sorted(found.items())), strict=True))
+    gains = brown.word_gains(table(label), label, word, code, n)
+    for w in range(12):
+        want = [brown.likelihood(table(np.where(np.arange(12) == w, k, label))) for k in range(size)]
+        assert np.allclose(gains[w] - gains[w][0], np.array(want) - want[0])
+
+
+def test_every_word_is_exchanged_not_its_ending(spark):
+    """Two kinds of rare words, all with the same ending, alternate; as many common words keep them from being frequent."""
+    rng = random.Random(7)
+    kinds = [[f"{c}{i}end" for i in range(400)] for c in "ab"]
+    texts = [" ".join(kinds[j % 2][rng.randrange(400)] for j in range(100)) for _ in range(300)]
+    rows = [(i, t, i >= 250) for i, t in enumerate(texts)]
+    got = brown.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3), classes=8).collect()
+    tokens = sum(r.n_tokens for r in got if r.held_out)
+    # Words of one class alone are one in 800 of them; when the kinds are told apart, one in 400.
+    assert sum(r.score for r in got if r.held_out) / tokens > -math.log10(400) - 0.07
+
+
+def test_word_model_is_a_distribution():
+    rng = np.random.default_rng(8)
+    size = brown.END_UNIT + 1
+    pairs = np.zeros((size, size))
+    pairs[-30:, -30:] = rng.integers(0, 9, (30, 30))
+    units = brown._model(pairs, np.empty(0, np.uint64), np.zeros((4, size)), int(pairs.sum()), 90, 5)
+    start = brown.Start(units.frequent, units.label, 9.0, 0, 5)
+    counts, label = rng.integers(1, 9, 90), rng.integers(0, 5, 90)
+    table = np.zeros((5, 5))
+    table[0] = np.bincount(label, counts, minlength=5)
+    shape = np.stack([np.bincount(label[x], minlength=5) for x in (counts > 0, counts == 1, counts == 2)])
+    model = brown._word_model(units, start, table, shape)
+    known = np.bincount(label, (counts - model.discount[label]) / model.size[label], minlength=5)
+    unknown = np.bincount(units.label[: brown.ENDINGS], 10 ** model.unknown[: brown.ENDINGS], minlength=5)
+    assert np.allclose(known + unknown, 1) and np.allclose((10**model.transition).sum(1), 1)
+
+
 def test_scores_with_nothing_to_learn_or_score(spark):
     rows = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")
     only = brown.score_texts(rows).collect()[0]
